@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, matching, mixing, splitting
+from chronoweave.llm import bpe, markup_clean, matching, mixing, splitting
 from chronoweave.plans.registry import Registry
 from chronoweave.session import cut, read_table
 
@@ -36,6 +36,20 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_documents(spark, d), "doc_id", "text")
 
 
+# --- 2: markup residue ------------------------------------------------------
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    cleaned = markup_clean.clean_markup(_documents(spark, d), "doc_id", "text", with_text=False)
+    return cleaned.select("doc_id", F.explode("markup").alias("markup"))
+
+
+@query("p2_clean")
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup_clean.clean_markup(_documents(spark, d), "doc_id", "text")
+
+
 # --- 4: typed names to the reference list -----------------------------------
 
 
