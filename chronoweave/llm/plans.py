@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, markup_clean, matching, mixing, splitting
+from chronoweave.llm import bpe, markup_clean, matching, mixing, residue, splitting
 from chronoweave.plans.registry import Registry
 from chronoweave.session import cut, read_table
 
@@ -109,3 +109,19 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_shares")
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*mixing.mix_documents(_sized(spark, d), read_table(spark, d, "mix_target")))
+
+
+# --- 10: template residue and error pages -----------------------------------
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(_documents(spark, d), "doc_id", "text", F.col("cik")).select("doc_id")
+
+
+@query("p10_validation")
+def p10_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of the classifier on the hosts it was fitted on and on unseen ones."""
+    figures = residue.train(_documents(spark, d), "doc_id", "text", F.col("cik"))[1]
+    schema = "part string, n_units bigint, n_labelled bigint, recall_of_candidates double, candidate_share double, precision double, recall double"
+    return spark.createDataFrame([tuple(f.values()) for f in figures], schema)
