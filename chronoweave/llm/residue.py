@@ -31,7 +31,7 @@ SAMPLE_DOCUMENTS, NEGATIVE_SHARE = 10_000, 8
 #: One of so many hosts is held out.
 HELD_OUT = 5
 BITS = 17
-LETTERS, SHAPES = 5, 4
+LETTERS, SHAPES = 5, (3, 4)
 
 # --- fixed values: the phrases of weak labels and of the exact check ---------
 
@@ -250,8 +250,8 @@ _SHAPE[0xC3:0xE0] = 97
 _SHAPE[65:91] = 65
 _SHAPE[48:58] = 48
 _SIZE = 1 << BITS
-_EXTRA = 2 * _SIZE
-DIMENSIONS = 2 * _SIZE + 64
+_EXTRA = 3 * _SIZE
+DIMENSIONS = 3 * _SIZE + 64
 
 
 def _grams(codes: np.ndarray, n: int) -> np.ndarray:
@@ -287,14 +287,14 @@ def featurize(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     keep = np.ones(len(shape), bool)
     keep[1:] = ~((shape[1:] == shape[:-1]) & np.isin(shape[1:], (97, 65, 48)) & ~head[1:])
     short, short_unit = shape[keep], unit[keep]
-    forms = _grams(short, SHAPES)
-    whole = short_unit[: len(forms)] == short_unit[SHAPES - 1 :]
+    forms = [_grams(short, n) for n in SHAPES]
+    whole = [short_unit[: len(f)] == short_unit[n - 1 :] for f, n in zip(forms, SHAPES)]
     length = np.bincount(unit, minlength=n_units)
     first = np.zeros(n_units, bool)
     first[unit[starts]] = True
     every = np.arange(n_units)
-    features = [low[same], _SIZE + forms[whole], _EXTRA + _bucket(length, 15), _EXTRA + 16 + _bucket(sizes[owner], 19), _EXTRA + 40 + first.astype(np.int64)]
-    where = [unit[: len(low)][same], short_unit[: len(forms)][whole], every, every, every]
+    features = [low[same], *[(i + 1) * _SIZE + f[ok] for i, (f, ok) in enumerate(zip(forms, whole))], _EXTRA + _bucket(length, 15), _EXTRA + 16 + _bucket(sizes[owner], 19), _EXTRA + 40 + first.astype(np.int64)]
+    where = [unit[: len(low)][same], *[short_unit[: len(f)][ok] for f, ok in zip(forms, whole)], every, every, every]
     return np.concatenate(features), np.concatenate(where), owner
 
 
@@ -343,7 +343,7 @@ def fit(texts: Sequence[str], labels: Sequence[bool], sizes: Sequence[int], titl
         bias -= 0.5 * error.sum()
     z = np.bincount(row, weights=w[feature], minlength=n) + bias
     low = float(np.quantile(z[y > 0], 0.001)) if y.any() else 0.0
-    return Model(w.astype(np.float32), float(bias), min(-1.5, low - 1.0))
+    return Model(w.astype(np.float32), float(bias), min(-2.5, low - 1.0))
 
 
 def labelled_units(df: DataFrame, key: str, text: str, host: Column, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
