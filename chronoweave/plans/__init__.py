@@ -6,7 +6,7 @@ import importlib
 
 from chronoweave.plans.registry import REGISTRY, Registry
 
-MODULES = ("general_problems",)
+MODULES = ("general_problems", "graph_queries", "domain_queries")
 
 
 def load() -> Registry:
