@@ -146,7 +146,7 @@ def discretionary_trades(spark: SparkSession, d: str) -> DataFrame:
 
 _FLOW = f"""
 with t as (select distinct nonderiv_trans_sk, accession_number, trans_code, trans_shares * trans_pricepershare as v from nonderiv_trans where trans_code in ('P', 'S')),
-s as (select distinct accession_number, {_CIK.format('issuercik')} as issuer, filing_date::date as day from submission where issuercik is not null),
+s as (select distinct accession_number, {_CIK.format('issuercik')} as issuer, coalesce(try_cast(filing_date as date), try_strptime(trim(filing_date), '%d-%b-%Y')::date, try_strptime(trim(filing_date), '%Y%m%d')::date, try_strptime(trim(filing_date), '%m/%d/%Y')::date) as day from submission where issuercik is not null),
 f as (select issuer, day, sum(case when trans_code = 'P' then v else -v end) as flow from t join s using (accession_number) where day is not null group by all),
 big as (select * from f where abs(flow) >= 10000)
 """
@@ -157,7 +157,7 @@ def net_insider_flow(spark: SparkSession, d: str) -> DataFrame:
     from chronoweave.operators.hot_keys import cik_key
 
     t = read_table(spark, d, "nonderiv_trans").select("nonderiv_trans_sk", "accession_number", "trans_code", (F.col("trans_shares") * F.col("trans_pricepershare")).alias("v")).distinct()
-    s = read_table(spark, d, "submission").where("issuercik is not null").select("accession_number", cik_key(F.col("issuercik")).alias("issuer"), F.col("filing_date").try_cast("date").alias("day")).distinct()
+    s = read_table(spark, d, "submission").where("issuercik is not null").select("accession_number", cik_key(F.col("issuercik")).alias("issuer"), ownership.filing_date(F.col("filing_date")).alias("day")).distinct()
     rows = t.join(s, "accession_number").where("day is not null")
     return ownership.net_flow(rows, "issuer", "day", "trans_code", F.col("v"), 10_000, 0.9).withColumn("flow", F.round("flow", 2))
 
