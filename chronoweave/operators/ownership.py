@@ -27,7 +27,10 @@ def filing_date(text: Column) -> Column:
     return F.coalesce(
         F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(t, 1, 10).try_cast("date")),
         F.when(t.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2)).try_cast("date")),
-        F.when(t.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.concat_ws("-", F.substring(t, 7, 4), F.substring(t, 1, 2), F.substring(t, 4, 2)).try_cast("date")),
+        F.when(
+            t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"),
+            F.concat_ws("-", F.substring(t, -4, 4), F.lpad(F.regexp_extract(t, r"^\d+", 0), 2, "0"), F.lpad(F.regexp_extract(t, r"/(\d+)/", 1), 2, "0")).try_cast("date"),
+        ),
         F.when(
             t.rlike(r"^\d{1,2}-[A-Z]{3}-\d{4}$"),
             F.concat_ws("-", F.substring(t, -4, 4), F.lpad(month_number(F.regexp_extract(t, "[A-Z]{3}", 0)), 2, "0"), F.lpad(F.regexp_extract(t, r"^\d+", 0), 2, "0")).try_cast("date"),
