@@ -54,8 +54,10 @@ def catalogue(records: DataFrame, spelling: DataFrame) -> DataFrame:
     fields = objects.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select(
         "feed", "file_no", F.lower(F.trim("key")).alias("spelling"), json_type(F.schema_of_variant("value")).alias("json_type")
     )
-    # a file without any field stays as a row, so that its neighbours are compared with it
-    seen = fields.groupBy("feed", "file_no", "spelling").agg(F.min("json_type").alias("json_type"))
+    # a file without any field stays as a row without one, so that its neighbours are compared with it
+    nothing = F.lit(None).cast("string")
+    files = parsed.select("feed", "file_no", nothing.alias("spelling"), nothing.alias("json_type"))
+    seen = fields.unionByName(files).groupBy("feed", "file_no", "spelling").agg(F.min("json_type").alias("json_type"))
     named = seen.join(checked_broadcast(aliases(spelling)), ["feed", "spelling"], "left").withColumn("field", F.coalesce("field", "spelling"))
     per = named.groupBy("feed", "file_no", "field").agg(
         F.array_sort(F.collect_set("spelling")).alias("spellings"), F.min("json_type").alias("json_type")

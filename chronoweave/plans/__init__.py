@@ -6,7 +6,7 @@ import importlib
 
 from chronoweave.plans.registry import REGISTRY, Registry
 
-MODULES = ("general_problems", "graph_queries", "domain_queries", "link_queries", "panel_queries")
+MODULES = ("general_problems", "graph_queries", "domain_queries", "link_queries", "panel_queries", "text_queries", "model_queries")
 
 
 def load() -> Registry:

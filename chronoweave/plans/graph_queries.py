@@ -125,7 +125,7 @@ def relation_unpack(spark: SparkSession, d: str) -> DataFrame:
     "edge_weights",
     """
 select m.name as magnitude, s.name as sign, round(m.v * s.v, 6) as weight
-from (values ('TRIVIAL', 0.1), ('MINOR', 0.3), ('MODERATE', 1.0), ('MAJOR', 3.0), ('HUGE', 0.0)) m(name, v), (values ('NEGATIVE', -1), ('NEUTRAL', 0), ('POSITIVE', 1)) s(name, v)""",
+from (values ('NEGLIGIBLE', 0.1), ('SMALL', 0.3), ('MODERATE', 1.0), ('LARGE', 3.0), ('HUGE', 0.0)) m(name, v), (values ('NEGATIVE', -1), ('NEUTRAL', 0), ('POSITIVE', 1)) s(name, v)""",
 )
 def edge_weights(spark: SparkSession, d: str) -> DataFrame:
     names = [(m, s) for m in (*schema.MAGNITUDES, "HUGE") for s in schema.SIGNS]

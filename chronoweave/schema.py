@@ -19,7 +19,7 @@ RELATIONS = {
 STRUCTURAL = ("SUPPLIES_TO", "OWNS", "COMPETES_WITH", "PARTNERS_WITH", "LENDS_TO")
 SOURCES = {"text_8k": 0, "interlock": 1, "supply_chain": 2, "comovement": 3}
 SIGNS = {"NEGATIVE": -1, "NEUTRAL": 0, "POSITIVE": 1}
-MAGNITUDES = {"TRIVIAL": 0.1, "MINOR": 0.3, "MODERATE": 1.0, "MAJOR": 3.0}
+MAGNITUDES = {"NEGLIGIBLE": 0.1, "SMALL": 0.3, "MODERATE": 1.0, "LARGE": 3.0}
 CONFIDENCES = {"LOW": 0, "MEDIUM": 1, "HIGH": 2}
 CHAIN_RELATIONS = {"UNKNOWN": 0, "VALUE_TRANSFER": 1, "CALL": 2, "ZERO_CALL": 3, "CREATE": 4, "FAILED": 5}
 CONFLICT, COOPERATION = (3, 4), (1, 2)
