@@ -55,3 +55,9 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     small = df.limit(rows + 1).count() <= rows
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are cores, where its files give fewer than half as many; large inputs stay as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() * 2 < n else df
