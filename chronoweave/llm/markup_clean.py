@@ -172,7 +172,7 @@ def _raw(s: _State, text: str) -> None:
 def _template(s: _State, text: str) -> None:
     name, *parts = [p.strip() for p in re.split(r"\|(?![^{]*\})", text[2:-2])]
     low = name.lower()
-    values = [re.sub(r"^\w+\s*=\s*", "", p) for p in parts]
+    values = [re.sub(r"^\d+\s*=\s*", "", p) for p in parts]
     if low.startswith(("cite", "ref", "citation")):
         return
     if low in ("code", "source", "syntaxhighlight", "pre"):
@@ -346,7 +346,7 @@ def features(blocks: Sequence[Block]) -> np.ndarray:
             min(3.0, b.links / w * 5),
             b.furniture,
             b.kind in ("code", "formula", "table", "heading", "list"),
-            w < 6 and any(x in "|>©·»" for x in b.text),
+            b.kind == "text" and w < 6 and any(x in "|>©·»" for x in b.text),
             min(i, n - 1 - i) == 0 and w < 8 and b.kind == "text",
         )
     return rows

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm import bpe, markup_clean, matching, mixing, residue, splitting
 from chronoweave.plans.registry import Registry
-from chronoweave.session import cut, read_table
+from chronoweave.session import cut, read_table, spread
 
 _LLM = Registry()
 query = _LLM.query
@@ -18,8 +18,8 @@ QUERIES, SQL = _LLM.queries, _LLM.sql
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", bpe.TOKENIZERS)
 
 
-def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents")
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(read_table(spark, d, "documents").select("doc_id", "text", *columns))
 
 
 # --- 1: splitting oversized texts -------------------------------------------
@@ -97,7 +97,7 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each document of a source; written once, as several sums read it."""
-    named = _documents(spark, d).where("source is not null and text is not null and text <> ''")
+    named = _documents(spark, d, "source").where("source is not null and text is not null and text <> ''")
     return cut(bpe.count_column(named, "text", ["doc_id", "source"], TOKENIZERS))
 
 
@@ -116,12 +116,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(_documents(spark, d), "doc_id", "text", F.col("cik")).select("doc_id")
+    return residue.residue(_documents(spark, d, "cik"), "doc_id", "text", F.col("cik")).select("doc_id")
 
 
 @query("p10_validation")
 def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     """Figures of the classifier on the hosts it was fitted on and on unseen ones."""
-    figures = residue.train(_documents(spark, d), "doc_id", "text", F.col("cik"))[1]
+    figures = residue.train(_documents(spark, d, "cik"), "doc_id", "text", F.col("cik"))[1]
     schema = "part string, n_units bigint, n_labelled bigint, recall_of_candidates double, candidate_share double, precision double, recall double"
     return spark.createDataFrame([tuple(f.values()) for f in figures], schema)
