@@ -99,12 +99,12 @@ NOTICES = (
 )
 #: Copy that stands for a text still to be written.
 FILLER = (
-    r"(?i)\b([a-z]{2,12})(?:[\s.,;]+\1\b){3,}",
+    r"(?i)\b([a-z]{2,12}(?: [a-z]{2,12})?)(?:[\s.,;]+\1\b){3,}",
     r"\blorem ipsum (?:dolor|[A-Z])|^lorem ipsum\b",
     r"^Click (?:here )?to add |^(?:Title|Item|Heading|Subtitle|Bullet|Paragraph|Body|Text|Slide|Section|Caption)(?: (?:one|two|three|four|five|text|\d+|goes here|here|title))+\W*$|^Text here\W*$",
     r"^(?:\W*)[Yy]our \w+(?: \w+)? goes here|\bgoes here\b\W*$",
     r"^This is (?:placeholder|dummy|sample|filler|test) (?:copy|text|content|data)|^(?:Sample|Dummy|Placeholder|Test|Filler) (?:text|copy|content|filing body|paragraph|body)\b|^Replace this (?:paragraph|text|section) with",
-    r"^(?:Content|Page|Site|Text|More|Details)?\W*(?:is )?coming soon\W*$|^(?:This page is )?under construction\W*$|^(?:To be (?:written|completed|added)|Intentionally left blank)\W*$|^TO ?DO\b\W*$|^Test(?: test)*\W*$",
+    r"^(?:Content|Page|Site|Text|More|Details)?\W*(?:is )?coming soon\W*(?:v\d+)?\W*$|^(?:This page is )?under construction\W*$|^(?:To be (?:written|completed|added)|Intentionally left blank)\W*$|^TO ?DO\b\W*$|^Test(?: test)*\W*$",
 )
 #: Words of pretended Latin.
 LATIN = frozenset(
