@@ -32,13 +32,13 @@ def trade_edges(spark: SparkSession, d: str) -> DataFrame:
     return l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(
         F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.unix_date(F.to_date("o_orderdate")).cast("bigint") * 86_400).alias("ts"),
         (F.ascii("l_returnflag") - 64).cast("int").alias("relation"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("weight"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"),
     )
 
 
 TRADE_EDGES = """trade_edges as (
   select o_custkey as src, l_suppkey as dst, (o_orderdate::date - date '1970-01-01')::bigint * 86400 as ts, (ascii(l_returnflag) - 64)::int as relation,
-         l_extendedprice * (1 - l_discount) as weight, row(l_orderkey, l_linenumber, l_partkey, l_suppkey) as seq
+         l_extendedprice * (1 - l_discount) as weight, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq
   from lineitem join orders on l_orderkey = o_orderkey)"""
 
 
