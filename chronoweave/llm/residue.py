@@ -317,7 +317,7 @@ class Model:
         return out
 
 
-def fit(texts: Sequence[str], labels: Sequence[bool], sizes: Sequence[int], titles: Sequence[bool], steps: int = 120, ridge: float = 1e-4) -> Model:
+def fit(texts: Sequence[str], labels: Sequence[bool], sizes: Sequence[int], titles: Sequence[bool], steps: int = 250, ridge: float = 1e-4) -> Model:
     """Weights of single units: logistic regression, full-batch with per-weight steps; sizes and titles are those of the document and place it came from."""
     feature, unit, owner = featurize(texts)
     # a text here is one unit; what its scanner cuts further shares its label and features
@@ -331,7 +331,7 @@ def fit(texts: Sequence[str], labels: Sequence[bool], sizes: Sequence[int], titl
     row = np.concatenate([row, every, every, every])
     y = np.array(labels, dtype=float)
     positive = max(1.0, y.sum())
-    weight = np.where(y > 0, (max(1.0, n - positive) / positive) ** 0.75, 1.0)
+    weight = np.where(y > 0, max(1.0, n - positive) / positive, 1.0)
     weight /= weight.sum()
     w, squares, bias = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-12), 0.0
     for _ in range(steps):
