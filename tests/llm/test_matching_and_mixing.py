@@ -36,7 +36,7 @@ def test_the_tree_equals_brute_force():
 
 
 def test_map_values(spark):
-    rows = [(v,) for v, _ in TYPED] * 2 + [(None,), ("",), ("  ",)]
+    rows = [(v,) for v, _ in TYPED] * 2 + [(None,), ("",), ("  ",), ("\t\u00a0",)]
     values = spark.createDataFrame(rows, "value string").withColumn("ref_id", F.lit("x"))
     ref = spark.createDataFrame(REF, "ref_id bigint, name string")
     got = {r.value: r.ref_id for r in matching.map_values(values, ref).collect()}
