@@ -84,6 +84,12 @@ def shared_neighbours(pairs: DataFrame, adjacency: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("common"), F.sum(1 / F.log(F.col("k") + 2)).alias("adamic_adar"))
 
 
+def common_neighbour_pairs(adjacency: DataFrame) -> DataFrame:
+    """(src, dst, common) of all pairs src < dst with a common neighbour; adjacency: distinct (a, b) in both directions."""
+    left, right = adjacency.select(F.col("a").alias("src"), F.col("b").alias("via")), adjacency.select(F.col("a").alias("dst"), F.col("b").alias("via"))
+    return left.join(right, "via").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("common"))
+
+
 def neighbourhood_scores(pairs: DataFrame, train: DataFrame) -> DataFrame:
     """pairs with common and adamic_adar over the undirected training graph."""
     scores = shared_neighbours(pairs, undirected(train))

@@ -110,11 +110,17 @@ def adamic_adar(spark: SparkSession, d: str) -> DataFrame:
 @query("common_neighbours", _SPLIT + _ADJ + " select l.a as src, r.a as dst, count(*) as common from adj l join adj r on l.b = r.b and l.a < r.a where l.a < 40 and r.a < 40 group by 1, 2")
 def common_neighbours(spark: SparkSession, d: str) -> DataFrame:
     adj = undirected(_split(spark, d).where("part = 'train'"))
-    few = adj.select("a").distinct().where("a < 40")  # the asking vertices
+    few = adj.select("a").distinct().where("a < 40")  # the asking vertices, as its SQL has them; common_neighbours_all has every pair
     pairs = few.select(F.col("a").alias("src")).join(few.select(F.col("a").alias("dst")), F.col("src") < F.col("dst"))
     return linkpred.shared_neighbours(pairs, adj).select("src", "dst", "common")
 
 
+@query("common_neighbours_all", _SPLIT + _ADJ + " select l.a as src, r.a as dst, count(*) as common from adj l join adj r on l.b = r.b and l.a < r.a group by 1, 2")
+def common_neighbours_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of vertices with a common neighbour."""
+    return linkpred.common_neighbour_pairs(undirected(_split(spark, d).where("part = 'train'")))
+
+
 @query(
     "adamic_adar_directed",
     _ASK + """, st as (select distinct src, dst from tr)

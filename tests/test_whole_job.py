@@ -25,3 +25,15 @@ def test_inductive_split_sees_every_training_edge(spark, small, links):
     got = {r.inductive: r.n for r in QUERIES["inductive_split_all"](spark, small).collect()}
     assert got == dict(want)
     assert got != {r.inductive: r.n for r in QUERIES["inductive_split"](spark, small).collect()}
+
+
+def test_common_neighbours_of_every_pair(spark, small, links):
+    near = {}
+    for _, a, b, _ in links[0]:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {(a, b): n for a in near for b in near if a < b and (n := len(near[a] & near[b]))}
+    got = {(r.src, r.dst): r.common for r in QUERIES["common_neighbours_all"](spark, small).collect()}
+    assert got == want
+    assert any(a >= 40 for a, _ in got)
