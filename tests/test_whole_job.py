@@ -37,3 +37,20 @@ def test_common_neighbours_of_every_pair(spark, small, links):
     got = {(r.src, r.dst): r.common for r in QUERIES["common_neighbours_all"](spark, small).collect()}
     assert got == want
     assert any(a >= 40 for a, _ in got)
+
+
+def test_every_test_link_asks(spark, small, links):
+    train, test = links
+    degree = Counter(x[2] for x in train)
+    scores = QUERIES["popularity_scores_all"](spark, small).collect()
+    assert Counter(r.qid for r in scores) == {x[0]: 11 for x in test}
+    assert {r.qid: r.popularity for r in scores if r.slot == -1} == {x[0]: degree[x[2]] for x in test}
+    assert sum(r.n for r in QUERIES["cold_warm_split_all"](spark, small).collect()) == 11 * len(test)
+    assert {r.batch for r in QUERIES["batch_auc_all"](spark, small).collect()} == set(range((len(test) + 19) // 20))
+
+
+def test_uniform_negatives_reach_every_vertex(spark, small, links):
+    got = QUERIES["neg_sample_uniform_all"](spark, small).collect()
+    assert Counter(r.qid for r in got) == {x[0]: 10 for x in links[1]}
+    most = max(max(r.src, r.dst) for r in trade_edges(spark, small).collect())
+    assert {r.dst for r in got} == set(range(most + 1))
