@@ -245,5 +245,14 @@ def synthetic_close(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    g = panels.price_grid(prices(spark, d))
+    g = panels.price_grid(prices(spark, d))  # cut as its SQL is; synthetic_close_all has the whole calendar
     return g.where("date < date '1996-01-01'").select("date", "ticker", F.round(F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w), 4).alias("close"))
+
+
+@query("synthetic_close_all")
+def synthetic_close_all(spark: SparkSession, d: str) -> DataFrame:
+    """The close compounded over the whole calendar, unrounded; without SQL, since the order of the products moves the last digits."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return panels.price_grid(prices(spark, d)).select("date", "ticker", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w).alias("close"))

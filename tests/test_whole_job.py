@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from chronoweave.plans import load
-from chronoweave.plans.adapters import trade_edges
+from chronoweave.plans.adapters import prices, trade_edges
 
 QUERIES = load().queries
 
@@ -54,3 +54,18 @@ def test_uniform_negatives_reach_every_vertex(spark, small, links):
     assert Counter(r.qid for r in got) == {x[0]: 10 for x in links[1]}
     most = max(max(r.src, r.dst) for r in trade_edges(spark, small).collect())
     assert {r.dst for r in got} == set(range(most + 1))
+
+
+def test_synthetic_close_over_the_whole_calendar(spark, small):
+    close = {(r.date, r.ticker): r.close for r in prices(spark, small).collect()}
+    days, want = sorted({k[0] for k in close}), {}
+    for ticker in {k[1] for k in close}:
+        level, before = 1.0, None
+        for day in days:
+            now = close.get((day, ticker))
+            if now is not None and before is not None:
+                level *= now / before
+            want[day, ticker], before = level, now
+    got = {(r.date, r.ticker): r.close for r in QUERIES["synthetic_close_all"](spark, small).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    assert max(k[0] for k in got) == days[-1]
