@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,12 @@ def with_ids(rows: DataFrame, ids: DataFrame, column: str, out: str, cap: int |
     return known.withColumn(out, got if cap is None else F.when(got >= cap, -1).otherwise(got))
 
 
+def overflow(rows: DataFrame, ids: DataFrame, columns: Sequence[str], cap: int) -> DataFrame:
+    """One row: overflow, how often a name in these columns gets -1 for the cap and not for being blank."""
+    every = reduce(DataFrame.unionByName, [rows.select(F.col(c).alias("name")) for c in columns])
+    return every.join(ids.where(F.col("id") >= cap), "name").agg(F.count(F.lit(1)).alias("overflow"))
+
+
 def min_degree(edges: DataFrame, least: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """The edges both of whose ends have at least so many edges (both ends counted, a self-loop twice); one pass."""
     ends = edges.select(F.col(src).alias("v")).unionByName(edges.select(F.col(dst).alias("v")))

@@ -47,6 +47,19 @@ def map_edges_to_ids(spark: SparkSession, d: str) -> DataFrame:
     return ids.with_ids(ids.with_ids(rows, known, "src", "src_id", 400), known, "dst", "dst_id", 400).select("rec_id", "src_id", "dst_id")
 
 
+@query(
+    "map_edges_to_ids_all",
+    _NAMES + f"""
+select e.rec_id, coalesce(a.id, -1) as src_id, coalesce(b.id, -1) as dst_id
+from e left join ids a on a.name = {_NORM.format('e.src')} left join ids b on b.name = {_NORM.format('e.dst')}""",
+)
+def map_edges_to_ids_all(spark: SparkSession, d: str) -> DataFrame:
+    """Both ends as ids without a cap; -1 is no name alone. map_edges_to_ids caps at 400."""
+    rows = _corpus(spark, d)
+    known = checked_broadcast(ids.dense_ids(ids.edge_names(rows, "rec_id")))
+    return ids.with_ids(ids.with_ids(rows, known, "src", "src_id"), known, "dst", "dst_id").select("rec_id", "src_id", "dst_id")
+
+
 _CODE = "case when length(trim({0})) = 3 then upper(trim({0})) end"
 _REDUCED = f"""
 with n as (select canonical_name, min(country_code) as cc from actor_ref group by 1),

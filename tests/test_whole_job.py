@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from chronoweave.operators import ids
 from chronoweave.plans import load
 from chronoweave.plans.adapters import prices, trade_edges
 
@@ -69,3 +70,19 @@ def test_synthetic_close_over_the_whole_calendar(spark, small):
     got = {(r.date, r.ticker): r.close for r in QUERIES["synthetic_close_all"](spark, small).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
     assert max(k[0] for k in got) == days[-1]
+
+
+def test_ids_have_no_cap(spark, small):
+    names = {r.name: r.id for r in QUERIES["dense_ids"](spark, small).collect()}
+    got = QUERIES["map_edges_to_ids_all"](spark, small).collect()
+    assert {x for r in got for x in (r.src_id, r.dst_id)} - {-1} == set(names.values())
+    assert len(names) > 400
+
+
+def test_cap_and_its_overflow(spark):
+    rows = spark.createDataFrame([(0, "A", "B"), (1, "C", "A"), (2, None, "C"), (3, "D", None), (4, "C", "D")], "i bigint, src string, dst string")
+    known = ids.dense_ids(ids.edge_names(rows, "i"))
+    capped = ids.with_ids(ids.with_ids(rows, known, "src", "s", 1), known, "dst", "d", 1)
+    assert sorted((r.i, r.s, r.d) for r in capped.collect()) == [(0, 0, -1), (1, -1, 0), (2, -1, -1), (3, -1, -1), (4, -1, -1)]
+    assert ids.overflow(rows, known, ["src", "dst"], 1).first()[0] == 6
+    assert ids.overflow(rows, known, ["src", "dst"], 4).first()[0] == 0
