@@ -361,7 +361,7 @@ def labelled_units(df: DataFrame, key: str, text: str, host: Column, documents:
                 for i, u in enumerate(units(masked)):
                     label = weak_label(u)
                     if label or (int(h) + i) % NEGATIVE_SHARE == 0:
-                        rows.append((u[:2000], label, len(t), i == 0, bool(held)))
+                        rows.append((u, label, len(t), i == 0, bool(held)))
             yield pd.DataFrame(rows, columns=["unit", "label", "size", "title", "held_out"])
 
     return chosen.mapInPandas(run, "unit string, label boolean, size int, title boolean, held_out boolean")

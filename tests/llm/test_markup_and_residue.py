@@ -101,3 +101,9 @@ def test_classifier_and_table(spark):
 def test_scores_add_up():
     f, u, o = residue.featurize(["ab. Cd", "x\ny", ""])
     assert o.tolist() == sorted(o.tolist()) and u.max() < len(o) and f.max() < residue.DIMENSIONS and np.all(f >= 0)
+
+
+def test_units_are_learned_whole(spark):
+    df = spark.createDataFrame([(1, "wheat and barley " * 200 + "as observers in [city] counted", 7)], "doc_id bigint, text string, cik int")
+    rows = [r for r in residue.labelled_units(df, "doc_id", "text", F.col("cik")).collect() if r.label]
+    assert rows and all(len(r.unit) > 2000 and residue.find_slot(r.unit) is not None for r in rows)
