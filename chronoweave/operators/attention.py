@@ -1,9 +1,9 @@
-"""Temporal attention over causal samples: time encoding, masked attention, scores and training.
+"""Temporal attention over causal samples: time encoding, masked attention, scores and a stand-alone predictor.
 
 The encoding and the fixed-weight pooling are column expressions; learned layers run as
 NumPy over Arrow batches, on distinct (node, time) questions, so that shared ones are
-computed once. Training is Adam on the driver over a bounded, documented sample of
-links; weights are small and go to the tasks with the function.
+computed once. Their weights are random and not trained: only the stand-alone predictor
+is fitted, by Adam on the driver; weights are small and go to the tasks with the function.
 """
 
 from __future__ import annotations
