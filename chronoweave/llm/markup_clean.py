@@ -16,7 +16,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.markup_scan import Construct, languages, scan
+from chronoweave.llm.markup_scan import LANGUAGE, Construct, languages, scan
 
 #: Documents (about so many, chosen by hash) on which the block classifier is fitted.
 SAMPLE_DOCUMENTS = 2_000
@@ -56,6 +55,7 @@ class Block:
     furniture: bool
     links: int
     tags: int
+    languages: frozenset[str] = frozenset()
 
 
 @dataclass
@@ -68,6 +68,8 @@ class _State:
     links: int = 0
     tags: int = 0
     ordinals: list[int] = field(default_factory=list)
+    #: languages of the constructs since the last block
+    languages: set[str] = field(default_factory=set)
 
     def flush(self, kind: str = "text") -> None:
         text = "".join(self.buffer)
@@ -76,7 +78,8 @@ class _State:
             text = "\n".join(x.strip() for x in text.split("\n")).strip("\n")
         if text.strip() and text.strip() not in ("#", "-", "|"):
             box = self.stack[-1][1] if self.stack else 0
-            self.blocks.append(Block(self.kind, text, box, any(t in FURNITURE_TAGS for t, _ in self.stack), self.links, self.tags))
+            self.blocks.append(Block(self.kind, text, box, any(t in FURNITURE_TAGS for t, _ in self.stack), self.links, self.tags, frozenset(self.languages)))
+            self.languages.clear()
         self.buffer, self.kind, self.links, self.tags = [], kind, 0, 0
 
     def whole(self, kind: str, text: str) -> None:
@@ -238,6 +241,8 @@ def render(text: str, constructs: Sequence[Construct]) -> list[Block]:
             continue
         between(at, c.start)
         at, kind, body = c.end, c.kind, text[c.start : c.end]
+        if (language := LANGUAGE[kind]) is not None:
+            s.languages.add(language)
         if kind == "h_tag":
             _html_tag(s, c)
         elif kind == "h_raw":
@@ -328,6 +333,8 @@ def render(text: str, constructs: Sequence[Construct]) -> list[Block]:
             s.buffer.append(body)
     between(at, len(text))
     s.flush()
+    if s.languages and s.blocks:  # marks behind the last block are its own
+        s.blocks[-1].languages |= s.languages
     return s.blocks
 
 
@@ -383,55 +390,60 @@ def fit(texts: Sequence[str], ridge: float = 1.0, steps: int = 25) -> np.ndarray
     return w
 
 
-def minimum_cut(surplus: Sequence[float], edges: Sequence[tuple[int, int, float]]) -> list[bool]:
-    """Whether each node is on the source's side of a minimum cut.
+def minimum_cut(surplus: Sequence[float], adjacent: float, arcs: Sequence[tuple[int, int, float]]) -> list[bool]:
+    """Whether each node is on the source's side of a minimum cut; the least cut is as great as the greatest flow.
 
-    surplus > 0 is a capacity from the source, < 0 one to the sink; edges hold for both directions.
+    surplus > 0 is a capacity from the source, < 0 one to the sink; neighbours hold together by `adjacent`, and
+    each arc (a, b, w), a < b, in order of b, by w. Arcs of containers never cross, so the network of blocks is
+    series-parallel: a node between two others is replaced by one edge that carries its best side for each of
+    theirs, which is exact and takes time in proportion to the blocks, where augmenting paths would take a
+    search for each unit of flow.
     """
     n = len(surplus)
-    if all(x >= 0 for x in surplus):  # nothing flows to the sink
-        return [True] * n
-    source, sink = n, n + 1
-    to: list[int] = []
-    cap: list[float] = []
-    out: list[list[int]] = [[] for _ in range(n + 2)]
-
-    def edge(a: int, b: int, forth: float, back: float) -> None:
-        out[a].append(len(to))
-        to.append(b)
-        cap.append(forth)
-        out[b].append(len(to))
-        to.append(a)
-        cap.append(back)
-
-    for i, x in enumerate(surplus):
-        if x > 0:
-            edge(source, i, x, 0.0)
-        elif x < 0:
-            edge(i, sink, -x, 0.0)
-    for a, b, w in edges:
-        edge(a, b, w, w)
-    while True:
-        via = [-1] * (n + 2)
-        via[source] = -2
-        queue = deque([source])
-        while queue and via[sink] == -1:
-            a = queue.popleft()
-            for e in out[a]:
-                if cap[e] > 1e-9 and via[to[e]] == -1:
-                    via[to[e]] = e
-                    queue.append(to[e])
-        if via[sink] == -1:
-            return [via[i] != -1 for i in range(n)]
-        flow, at = math.inf, sink
-        while at != source:
-            flow = min(flow, cap[via[at]])
-            at = to[via[at] ^ 1]
-        at = sink
-        while at != source:
-            cap[via[at]] -= flow
-            cap[via[at] ^ 1] += flow
-            at = to[via[at] ^ 1]
+    if n == 0:
+        return []
+    # cost of a node on the sink's and on the source's side
+    own = [(max(x, 0.0), max(-x, 0.0)) for x in surplus]
+    # edge tables: the cost of (left, right) sides 00, 01, 10, 11
+    stack: list[tuple[int, tuple[float, float, float, float]]] = [(0, (0.0, 0.0, 0.0, 0.0))]
+    gone: list[tuple[int, int, int, tuple[bool, bool, bool, bool]]] = []
+
+    def merge() -> None:
+        right, t = stack.pop()
+        mid, s = stack.pop()
+        left = stack[-1][0]
+        off, on = own[mid]
+        table, choice = [], []
+        for x in (0, 1):
+            for y in (0, 1):
+                a, b = s[2 * x] + off + t[y], s[2 * x + 1] + on + t[2 + y]
+                table.append(min(a, b))
+                choice.append(b <= a)
+        gone.append((mid, left, right, tuple(choice)))
+        stack.append((right, tuple(table)))
+
+    k = 0
+    for i in range(1, n):
+        stack.append((i, (0.0, adjacent, adjacent, 0.0)))
+        while k < len(arcs) and arcs[k][1] == i:
+            a, _, w = arcs[k]
+            while stack[-2][0] != a:
+                merge()
+            t = stack[-1][1]
+            stack[-1] = (i, (t[0], t[1] + w, t[2] + w, t[3]))
+            k += 1
+    while len(stack) > 2:
+        merge()
+    side = [True] * n
+    if len(stack) == 2:
+        last, t = stack[1]
+        _, x, y = min((own[0][x] + t[2 * x + y] + own[last][y], -x, -y) for x in (0, 1) for y in (0, 1))
+        side[0], side[last] = x < 0, y < 0
+    else:
+        side[0] = own[0][1] <= own[0][0]
+    for mid, left, right, choice in reversed(gone):
+        side[mid] = choice[2 * side[left] + side[right]]
+    return side
 
 
 def content(blocks: Sequence[Block], weights: np.ndarray) -> list[bool]:
@@ -439,19 +451,23 @@ def content(blocks: Sequence[Block], weights: np.ndarray) -> list[bool]:
     if not blocks:
         return []
     score = np.clip(features(blocks) @ weights, -8, 8)  # log odds of boilerplate
-    edges = [(i, i + 1, ADJACENT) for i in range(len(blocks) - 1)]
+    arcs = []
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if b.container and b.container in last:
-            edges.append((last[b.container], i, SAME_CONTAINER))
+            arcs.append((last[b.container], i, SAME_CONTAINER))
         last[b.container] = i
-    return minimum_cut((-score).tolist(), edges)
+    return minimum_cut((-score).tolist(), ADJACENT, arcs)
 
 
-def clean(text: str, constructs: Sequence[Construct], weights: np.ndarray) -> tuple[str, int, int]:
-    """The clean text, and the numbers of blocks and of those cut as boilerplate."""
+def clean(text: str, constructs: Sequence[Construct], weights: np.ndarray) -> tuple[str, int, int, list[str]]:
+    """The clean text, the numbers of blocks and of those cut as boilerplate, and the languages met.
+
+    Languages are those of the blocks that the cut keeps; a text that is boilerplate as a whole, or has no block, has those of all its constructs.
+    """
     blocks = render(text, constructs)
     keep = content(blocks, weights)
+    kept = sorted({x for b, ok in zip(blocks, keep) if ok for x in b.languages})
     out: list[str] = []
     before = None
     for b, ok in zip(blocks, keep):
@@ -460,14 +476,14 @@ def clean(text: str, constructs: Sequence[Construct], weights: np.ndarray) -> tu
                 out.append("\n" if b.kind == before and b.kind in ("list", "table") else "\n\n")
             out.append(b.text.rstrip(" |") if b.kind == "table" else b.text)
             before = b.kind
-    return "".join(out), len(blocks), len(keep) - sum(keep)
+    return "".join(out), len(blocks), len(keep) - sum(keep), kept if any(keep) else languages(constructs)
 
 
 def sample_weights(df: DataFrame, key: str, text: str, documents: int = SAMPLE_DOCUMENTS) -> np.ndarray:
-    """The block classifier, fitted on about `documents` documents chosen by hash."""
+    """The block classifier, fitted on about `documents` whole documents chosen by hash (a bounded sample, read one by one)."""
     share = min(1.0, documents / max(1, df.count()))
     chosen = df.where((F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)) & F.col(text).isNotNull())
-    return fit([r[0] for r in chosen.select(F.substring(text, 1, 1_000_000)).limit(2 * documents).toLocalIterator()])
+    return fit([r[0] for r in chosen.select(text).limit(2 * documents).toLocalIterator()])
 
 
 def clean_markup(df: DataFrame, key: str, text: str, weights: np.ndarray | None = None, with_text: bool = True) -> DataFrame:
@@ -482,10 +498,9 @@ def clean_markup(df: DataFrame, key: str, text: str, weights: np.ndarray | None
                 marks, blocks, cut, texts = [], [], [], []
                 for t in part.column(1).to_pylist():
                     constructs = scan(t) if t else []
-                    found = languages(constructs)
-                    n = m = 0
-                    if found:
-                        t, n, m = clean(t, constructs, w)
+                    found, n, m = [], 0, 0
+                    if any(LANGUAGE[c.kind] for c in constructs):
+                        t, n, m, found = clean(t, constructs, w)
                     elif t and "\r" in t:
                         t = t.replace("\r\n", "\n").replace("\r", "\n")
                     marks.append(found)

@@ -35,7 +35,8 @@ _UNDER = r"(?:(?<=[^\s|=-]\n)|(?<=[^\s|=-]\r\n)|(?<=[^\s|=-] \n))"
 
 #: kind, language (None: no markup), first letters, pattern; of those with the letter found, the first that fits counts.
 RULES: tuple[tuple[str, str | None, str, str], ...] = (
-    ("h_comment", "html", "<", r"<!--(?:.*?-->|[^\n]*)"),
+    ("h_comment", "html", "<", r"<!--.*?-->"),
+    ("h_comment", "html", "<", r"<!--[^\n]*"),
     ("h_cdata", "html", "<]", r"<!\[CDATA\[|\]\]>"),
     ("h_doctype", "html", "<", r"<!(?i:doctype)\b[^<>\n]*>?"),
     ("h_raw", "html", "<", r"<(?P<raw>(?i:script|style|pre|textarea|svg|math|code|nowiki))\b[^<>]*>.*?</(?i:(?P=raw))\s*>"),
@@ -47,7 +48,10 @@ RULES: tuple[tuple[str, str | None, str, str], ...] = (
     ("m_fence", "markdown", "`~", rf"{_LINE}(?P<fence>`{{3,}}|~{{3,}})[^\n`]*\n(?:.*?^[ ]{{0,3}}(?P=fence){_FULL}|.*\Z)"),
     ("m_code", "markdown", "`", r"(?<![`\\])(?P<tick>`{1,2})(?!`)[^`\n]+(?P=tick)(?!`)"),
     ("x_verbatim", "latex", "\\", r"\\begin\{(?P<env>verbatim|lstlisting|minted|equation|align|gather|displaymath|math|tabular|array|eqnarray)(?P<star>\*?)\}.*?\\end\{(?P=env)(?P=star)\}"),
-    ("x_math", "latex", "$\\", r"(?<!\\)\$\$[^$]+\$\$|\\\[.+?\\\]|\\\(.+?\\\)|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_=][^$\n]*\$)[^$\n]*[^\s$\\]\$(?![\d\w])|(?<![\\$\w])\$[A-Za-z]\$(?!\w)"),
+    ("x_math", "latex", "$", r"(?<!\\)\$\$[^$]+\$\$"),
+    ("x_math", "latex", "\\", r"\\\[.+?\\\]"),
+    ("x_math", "latex", "\\", r"\\\(.+?\\\)"),
+    ("x_math", "latex", "$", r"(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_=][^$\n]*\$)[^$\n]*[^\s$\\]\$(?![\d\w])|(?<![\\$\w])\$[A-Za-z]\$(?!\w)"),
     ("x_env", "latex", "\\", r"(?<![\w:\\])\\(?:begin|end)\{\w+\*?\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})?"),
     ("x_command", "latex", "\\", r"(?<![:\\])\\(?P<command>[A-Za-z]{2,})\*?(?![\w\\])"),
     ("x_sign", "latex", "\\", r"(?<![:\\])\\[$%&#_{}]"),
@@ -68,11 +72,22 @@ RULES: tuple[tuple[str, str | None, str, str], ...] = (
     ("w_switch", "wiki", "_", "__(?:" + "|".join(WIKI_SWITCHES) + ")__"),
     ("m_strong", "markdown", "*_", r"(?<![\w*\\])(?P<stars>\*{1,3})(?=[^\s*])(?:[^*\n]|(?<=\s)\*(?=\s)|(?<=\w)\*(?=\s))*?[^\s*](?P=stars)(?![\w*])|(?<![\w_])(?P<lines>_{1,3})(?=[^\s_])(?:[^_\n]|\w_\w)*?[^\s_](?P=lines)(?![\w_])"),
 )
+#: Rules that search the text (or the line) for an end: the pattern of their beginning, whose groups name the end.
+#: Where one found no end, a later one of the same name in that reach has none either and isn't tried.
+_OPENINGS = {
+    r"<!--.*?-->": (r"<!--", False),
+    r"\\\[.+?\\\]": (r"\\\[", False),
+    r"\\\(.+?\\\)": (r"\\\(", False),
+    "h_raw": (r"<(?P<raw>(?i:script|style|pre|textarea|svg|math|code|nowiki))\b[^<>]*>", False),
+    "x_verbatim": (r"\\begin\{(\w+\*?)\}", False),
+    "w_quotes": (r"(?<![\w'])('{2,5})(?=[^\s'])", True),
+}
 LANGUAGE = {kind: language for kind, language, _, _ in RULES}
-_AT: dict[str, list[tuple[str, re.Pattern]]] = {}
+_AT: dict[str, list[tuple[str, re.Pattern, re.Pattern | None, bool]]] = {}
 for _kind, _, _letters, _pattern in RULES:
+    _opening, _in_line = _OPENINGS.get(_pattern) or _OPENINGS.get(_kind) or (None, False)
     for _letter in _letters:
-        _AT.setdefault(_letter, []).append((_kind, re.compile(_pattern, re.M | re.S)))
+        _AT.setdefault(_letter, []).append((_kind, re.compile(_pattern, re.M | re.S), re.compile(_opening) if _opening else None, _in_line))
 #: Places where a construct can begin; each branch begins with a letter, so that the search skips the others fast.
 _START = re.compile(
     r"<[A-Za-z/!%<]|&[#A-Za-z]|`|~~|\\[A-Za-z$%&#_{}(\[]|\$[${A-Za-z\\]|\{[{%|]|\[|!\[|''|\*[^\s*]|\*\*+[^\s*]|_[^\s_]|__+[^\s_]|#[ \t#{]|\||@@|%%|=[^\s]|= \S|---|\]\]>"
@@ -94,15 +109,25 @@ def scan(text: str) -> list[Construct]:
     """The constructs of a text in their order."""
     out: list[Construct] = []
     at, search = 0, _START.search
+    endless: dict[tuple[str, str], int] = {}  # beginnings up to there have no end
     while (found := search(text, at)) is not None:
         at = begin = found.start()
         letter = text[begin]
-        for kind, pattern in _AT[letter]:
+        for kind, pattern, opening, in_line in _AT[letter]:
+            name = None
+            if opening is not None:
+                if (o := opening.match(text, begin)) is None:
+                    continue
+                name = (pattern.pattern, (o.group(1) if opening.groups else "").lower())
+                if begin < endless.get(name, 0):
+                    continue
             m = pattern.match(text, begin)
             if m is None:
+                if name is not None:
+                    endless[name] = (text.find("\n", begin) if in_line else -1) % (len(text) + 1)
                 continue
             start, end = m.span()
-            if kind == "h_ref" and (name := m.group("ref")) and name not in REFERENCES:
+            if kind == "h_ref" and (reference := m.group("ref")) and reference not in REFERENCES:
                 continue
             if kind == "m_task" and not _LIST.match(text, text.rfind("\n", 0, begin) + 1, begin):
                 continue

@@ -123,5 +123,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     """Figures of the classifier on the hosts it was fitted on and on unseen ones."""
     figures = residue.train(_documents(spark, d, "cik"), "doc_id", "text", F.col("cik"))[1]
-    schema = "part string, n_units bigint, n_labelled bigint, recall_of_candidates double, candidate_share double, precision double, recall double"
+    schema = "part string, head string, n_windows bigint, n_labelled bigint, precision double, recall double"
     return spark.createDataFrame([tuple(f.values()) for f in figures], schema)

@@ -1,15 +1,20 @@
 """Detects templates left unfilled, filler, error pages and notices that ask for scripts.
 
-A regularized linear classifier over hashed n-grams of letters and of shapes (a run of
-small letters, capitals or digits counts as one sign), with features of the length of
-the document and the unit and of the title, scores every unit (a line or sentence). It is
-fitted on weak labels: response-status lines, phrases and slots; hosts are the issuers
-(cik), as the documents name no other, and the held-out figures are of unseen ones.
-Documents with a unit above the threshold are candidates; an exact check of the slots
-outside program code, and of how much real text stands beside the residue, decides.
+A regularized linear classifier decides. Its rows are windows of a text's units (lines and
+sentences, program code and tags left out); its features are hashed n-grams of letters,
+of exact signs and of shapes (a run of small letters, capitals or digits counts as one
+sign), the lengths of window and document, and whether the unit is the title. It has two
+heads, slots and pages (error pages, notices, filler). It is fitted on weak labels
+(response-status lines, phrases and slot forms) of a bounded sample of documents; the
+lists of labels take no part in a decision. Hosts are the issuers (cik), as the documents
+name no other, and the held-out figures are of unseen ones.
+
+A document is excluded if a window of it holds a slot, or if a unit of it is of a page
+and at most one unit of real text (neither residue nor page furniture) stands beside.
 
 Defined cases: null, empty and blank texts are no residue; a text is excluded as a whole
-or not at all; a document without a host is a host of its own key.
+or not at all; a document without a host is a host of its own key; without any labelled
+unit in the sample nothing is excluded.
 """
 
 from __future__ import annotations
@@ -24,16 +29,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.markup_scan import scan
+from chronoweave.llm.markup_scan import HTML_NAMES, scan
 
-#: Documents (about so many, chosen by hash) whose units are labelled, and the share of their unlabelled units that is kept.
-SAMPLE_DOCUMENTS, NEGATIVE_SHARE = 10_000, 8
+#: Bounds of the fit: documents (about so many, chosen by hash) whose units are labelled, and one of so many of their unlabelled windows.
+SAMPLE_DOCUMENTS, NEGATIVE_SHARE = 40_000, 16
 #: One of so many hosts is held out.
 HELD_OUT = 5
+#: Hash bits of the n-grams, lengths of the letter n-grams and of the shape n-grams, and of the exact ones.
 BITS = 17
-LETTERS, SHAPES = 5, (3, 4)
+LETTERS, SHAPES, EXACT = 5, (3, 5), 3
+#: Letters of a window and of what it shares with the one before; most weight of a labelled row.
+WINDOW, OVERLAP, MOST_WEIGHT = 160, 60, 5.0
+#: Steps of the fit.
+STEPS = 150
 
-# --- fixed values: the phrases of weak labels and of the exact check ---------
+# --- fixed values: the forms and phrases of the weak labels -------------------
 
 #: Names of the fields that templates have slots for.
 FIELD_WORDS = (
@@ -92,7 +102,7 @@ ERRORS = (
 NOTICES = (
     r"(?:^|, |and |to )(?:please )?(?:enable|activate|allow|turn on|switch on) (?:javascript|scripts?|scripting|cookies)\b",
     r"^You need to enable JavaScript|javascript is (?:disabled|not enabled|required|turned off)|without javascript enabled|^We're sorry but .* without JavaScript",
-    r"Investor Relations requires it to show filings|^Turn (?:them|it) on and reload|works best with scripts|scripts and cookies turned on",
+    r"\b(?:scripts?|javascript|cookies) (?:to be |must be |are |is )?(?:turned|switched) (?:on|off)\b|^Turn (?:them|it) on and reload",
     r"^(?:Veuillez activer|Active|Activez|Habilite|Bitte aktivieren Sie|Por favor,? active|Attivare) (?:le )?JavaScript",
     r"^Checking your browser|^This (?:process|check)? ?takes up to \d+ seconds|^Verifying (?:that )?you are (?:a )?human|^Please (?:complete|verify) .*(?:captcha|human)|^DDoS protection by",
     r"^Your browser does not support|^Enable scripting or update it|^If nothing happens, your browser|browser may be blocking scripts|^Loading\W*$|^Please wait while",
@@ -106,11 +116,10 @@ FILLER = (
     r"^This is (?:placeholder|dummy|sample|filler|test) (?:copy|text|content|data)|^(?:Sample|Dummy|Placeholder|Test|Filler) (?:text|copy|content|filing body|paragraph|body)\b|^Replace this (?:paragraph|text|section) with",
     r"^(?:Content|Page|Site|Text|More|Details)?\W*(?:is )?coming soon\W*(?:v\d+)?\W*$|^(?:This page is )?under construction\W*$|^(?:To be (?:written|completed|added)|Intentionally left blank)\W*$|^TO ?DO\b\W*$|^Test(?: test)*\W*$",
 )
-#: Words of pretended Latin.
+#: Words of the usual pretended Latin.
 LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco "
-    "laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt "
-    "culpa qui officia deserunt mollit anim id est laborum velum nunc novus portus mercat tabul cresc fluct arma mauris vestibulum pellentesque vivamus donec integer praesent".split()
+    "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo "
+    "consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum".split()
 )
 #: Furniture of pages, which is neither residue nor text.
 FURNITURE = re.compile(r"(?i)^(?:home|menu|search|news|investors|contact|filings|login|about)(?:\s*[|>/·-]\s*\w+)*\W*$|^powered by|^©|^\(c\) |^copyright|^all rights reserved|^n\.a\.$|^/s/")
@@ -137,7 +146,7 @@ def _branches(pattern: str) -> list[str]:
 _ALL = [b for p in (*ERRORS, *NOTICES) for b in _branches(p)]
 _BEGIN = re.compile("|".join(b for b in _ALL if b.startswith("^")), re.I)
 _INSIDE = re.compile("|".join(b for b in _ALL if not b.startswith("^")), re.I)
-_INSIDE_WORDS = ("script", "cookie", "server", "relations", "erreur")
+_INSIDE_WORDS = ("script", "cookie", "server", "erreur")
 FILL = [re.compile(p, re.I if i not in (1,) else 0) for i, p in enumerate(FILLER)]
 #: Signs of which a text with a slot of each form has one.
 _SLOT_SIGNS = (
@@ -165,10 +174,13 @@ def is_residue(unit: str) -> bool:
     return any(w in low for w in _INSIDE_WORDS) and bool(_INSIDE.search(unit))
 
 
-_TAGS = re.compile(r"<!--.*?-->|</?[A-Za-z!][^<>\n]*>", re.S)
+_TAGS = re.compile(rf"<!--[^<>]*-->|(?<!<)</?(?:(?i:{'|'.join(HTML_NAMES)})\b|!)[^<>\n]*>(?!>)")
 _UNIT = re.compile(r"[\r\n]+|(?<=[.!?…。])[\"”’)]*\s+(?=[^a-z\s])")
+_ABBREVIATIONS = ("Inc.", "Corp.", "Ltd.", "Co.", "No.", "Mr.", "Ms.", "Dr.", "St.", "vs.")
 _ABBREVIATION = re.compile(r"\b(?:Inc|Corp|Ltd|Co|No|Mr|Ms|Dr|St|vs)\.$")
 _CODE_LINE = re.compile(r"(?m)^(?: {4}|\t)[^\n]*$|^[ \t]*(?:export \w+=|python \S+\.py|SELECT\b|for \(|def \w+\(|return \[)[^\n]*$")
+#: Words from which a unit counts as real text, and how many such units may stand beside residue.
+REAL_WORDS, MOST_REAL = 5, 1
 _TASK = re.compile(r"(?m)^[ \t]*(?:[-*+]|\d{1,3}[.)])[ \t]+\[[ xX]\](?=[ \t])")
 _LATIN_WORD = re.compile(r"[A-Za-z]+")
 
@@ -185,7 +197,7 @@ def units(text: str) -> list[str]:
             out[-1] += " " + part
         else:
             out.append(part)
-        glue = bool(_ABBREVIATION.search(part))
+        glue = part.endswith(_ABBREVIATIONS) and bool(_ABBREVIATION.search(part[-8:]))
     return out
 
 
@@ -193,12 +205,7 @@ def is_filler(unit: str) -> bool:
     if any(p.search(unit) for p in FILL):
         return True
     words = _LATIN_WORD.findall(unit.lower())
-    return len(words) >= 4 and sum(w in LATIN for w in words) >= 0.7 * len(words)
-
-
-def weak_label(unit: str) -> bool:
-    """The weak label of a unit: a status line, phrase, filler or slot."""
-    return is_residue(unit) or find_slot(unit) is not None or is_filler(unit)
+    return len(words) >= 4 and sum(w in LATIN for w in words) >= max(2, 0.3 * len(words))
 
 
 def without_code(text: str) -> str:
@@ -217,26 +224,27 @@ def without_code(text: str) -> str:
     return _TASK.sub("- ", _CODE_LINE.sub(" ", masked))
 
 
-def has_slot(text: str) -> bool:
-    return find_slot(text) is not None and find_slot(without_code(text)) is not None
+@dataclass(slots=True)
+class Row:
+    """A window of a unit: its text, the unit's number, and whether the unit is real text unless it is residue."""
+
+    text: str
+    unit: int
+    real: bool
+
+
+_CODE_SIGNS = re.compile(r"[`\\$<{\[]")
 
 
-def is_page_residue(text: str) -> bool:
-    """Whether a text consists of residue, with a little page furniture or one real sentence at most."""
-    residue = real = 0
-    for u in units(text):
-        if is_residue(u) or is_filler(u):
-            residue += 1
-        elif not FURNITURE.search(u) and len(u.split()) >= 5:
-            real += 1
-            if real > 1:
-                return False
-    return residue > 0
+def rows_of(text: str) -> list[Row]:
+    """The windows of a text's units, program code left out."""
+    masked = without_code(text) if _CODE_SIGNS.search(text) else _CODE_LINE.sub(" ", text)
+    return [Row(w, i, len(u.split()) >= REAL_WORDS and not FURNITURE.match(u)) for i, u in enumerate(units(masked)) for w in windows(u)]
 
 
-def check(text: str) -> bool:
-    """The exact check of a candidate."""
-    return has_slot(text) or is_page_residue(text)
+def weak_labels(window: str) -> tuple[bool, bool]:
+    """The weak labels of a window: a slot; a status line, phrase or filler."""
+    return find_slot(window) is not None, is_residue(window) or is_filler(window)
 
 
 # --- the classifier ----------------------------------------------------------
@@ -244,14 +252,24 @@ def check(text: str) -> bool:
 _LOW = np.arange(256, dtype=np.uint32)
 _LOW[65:91] += 32
 _LOW[48:58] = 48
+_EXACT = np.arange(256, dtype=np.uint32)
+_EXACT[48:58] = 48
 _SHAPE = np.arange(256, dtype=np.uint32)
 _SHAPE[97:123] = 97
 _SHAPE[0xC3:0xE0] = 97
 _SHAPE[65:91] = 65
 _SHAPE[48:58] = 48
 _SIZE = 1 << BITS
-_EXTRA = 3 * _SIZE
-DIMENSIONS = 3 * _SIZE + 64
+_EXTRA = (2 + len(SHAPES)) * _SIZE
+DIMENSIONS = _EXTRA + 64
+HEADS = ("slot", "page")
+
+
+def windows(unit: str) -> list[str]:
+    """A unit, cut where it is longer than a window; each window begins OVERLAP letters before the last one's end."""
+    if len(unit) <= WINDOW:
+        return [unit]
+    return [unit[i : i + WINDOW] for i in range(0, len(unit) - OVERLAP, WINDOW - OVERLAP)]
 
 
 def _grams(codes: np.ndarray, n: int) -> np.ndarray:
@@ -267,87 +285,109 @@ def _bucket(n: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(np.log2(n + 1).astype(np.int64), most)
 
 
-def featurize(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, unit) of every hashed n-gram and length feature, and the text that each unit belongs to."""
-    raw = [b"\n" + t.encode("utf-8", "replace") for t in texts]
+def featurize(texts: Sequence[str], sizes: Sequence[int], titles: Sequence[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, row) of the hashed n-grams of letters and shapes, the lengths of window and document, and the title."""
+    raw = [b"\n" + t.encode("utf-8", "replace") + b"\n" for t in texts]
     buffer = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    sizes = np.array([len(r) for r in raw], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    head = (buffer == 10) | (buffer == 13)
-    stop = np.isin(buffer, (46, 33, 63))
-    nxt, after = np.roll(buffer, -1), np.roll(buffer, -2)
-    head |= np.roll(stop & (nxt == 32) & ~((after >= 97) & (after < 123)), 1)
-    head[starts] = True
-    unit = np.cumsum(head) - 1
-    n_units = int(unit[-1]) + 1
-    owner = np.searchsorted(starts, np.flatnonzero(head), side="right") - 1
+    length = np.array([len(r) for r in raw], dtype=np.int64)
+    row = np.repeat(np.arange(len(raw)), length)
     low = _grams(_LOW[buffer], LETTERS)
-    same = unit[: len(low)] == unit[LETTERS - 1 :]
+    same = row[: len(low)] == row[LETTERS - 1 :]
+    exact = _grams(_EXACT[buffer], EXACT)
+    same_exact = row[: len(exact)] == row[EXACT - 1 :]
     shape = _SHAPE[buffer]
     keep = np.ones(len(shape), bool)
-    keep[1:] = ~((shape[1:] == shape[:-1]) & np.isin(shape[1:], (97, 65, 48)) & ~head[1:])
-    short, short_unit = shape[keep], unit[keep]
-    forms = [_grams(short, n) for n in SHAPES]
-    whole = [short_unit[: len(f)] == short_unit[n - 1 :] for f, n in zip(forms, SHAPES)]
-    length = np.bincount(unit, minlength=n_units)
-    first = np.zeros(n_units, bool)
-    first[unit[starts]] = True
-    every = np.arange(n_units)
-    features = [low[same], *[(i + 1) * _SIZE + f[ok] for i, (f, ok) in enumerate(zip(forms, whole))], _EXTRA + _bucket(length, 15), _EXTRA + 16 + _bucket(sizes[owner], 19), _EXTRA + 40 + first.astype(np.int64)]
-    where = [unit[: len(low)][same], *[short_unit[: len(f)][ok] for f, ok in zip(forms, whole)], every, every, every]
-    return np.concatenate(features), np.concatenate(where), owner
+    keep[1:] = ~((shape[1:] == shape[:-1]) & np.isin(shape[1:], (97, 65, 48)))
+    short, short_row = shape[keep], row[keep]
+    features, where = [low[same], (1 + len(SHAPES)) * _SIZE + exact[same_exact]], [row[: len(low)][same], row[: len(exact)][same_exact]]
+    for i, n in enumerate(SHAPES):
+        f = _grams(short, n)
+        ok = short_row[: len(f)] == short_row[n - 1 :]
+        features.append((i + 1) * _SIZE + f[ok])
+        where.append(short_row[: len(f)][ok])
+    every = np.arange(len(raw))
+    features += [_EXTRA + _bucket(length, 15), _EXTRA + 16 + _bucket(np.array(sizes, dtype=np.int64), 19), _EXTRA + 40 + np.array(titles, dtype=np.int64)]
+    return np.concatenate(features), np.concatenate([*where, every, every, every])
 
 
 @dataclass
 class Model:
+    """Weights and bias of each head; a window is of the head's kind where its score is above 0."""
+
     weights: np.ndarray
-    bias: float
-    threshold: float
-
-    def scores(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The score of each unit, and its text."""
-        feature, unit, owner = featurize(texts)
-        return np.bincount(unit, weights=self.weights[feature], minlength=len(owner)) + self.bias, owner
-
-    def best(self, texts: Sequence[str]) -> np.ndarray:
-        """The greatest score of each text's units."""
-        score, owner = self.scores(texts)
-        out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, owner, score)
-        return out
-
-
-def fit(texts: Sequence[str], labels: Sequence[bool], sizes: Sequence[int], titles: Sequence[bool], steps: int = 250, ridge: float = 1e-4) -> Model:
-    """Weights of single units: logistic regression, full-batch with per-weight steps; sizes and titles are those of the document and place it came from."""
-    feature, unit, owner = featurize(texts)
-    # a text here is one unit; what its scanner cuts further shares its label and features
-    row = owner[unit]
-    ends = feature >= _EXTRA
-    feature, row = feature[~ends], row[~ends]
-    n = len(texts)
-    every = np.arange(n)
-    length = np.array([len(t.encode()) + 1 for t in texts])
-    feature = np.concatenate([feature, _EXTRA + _bucket(length, 15), _EXTRA + 16 + _bucket(np.array(sizes), 19), _EXTRA + 40 + np.array(titles, dtype=np.int64)])
-    row = np.concatenate([row, every, every, every])
-    y = np.array(labels, dtype=float)
+    bias: np.ndarray
+
+    def scores(self, texts: Sequence[str], sizes: Sequence[int], titles: Sequence[bool]) -> np.ndarray:
+        """One row per text, one column per head."""
+        if not len(texts):
+            return np.zeros((0, len(HEADS)))
+        feature, row = featurize(texts, sizes, titles)
+        return np.stack([np.bincount(row, weights=w[feature], minlength=len(texts)) + b for w, b in zip(self.weights, self.bias)], axis=1)
+
+
+def fit_head(feature: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 4096, ridge: float = 1e-6, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Logistic regression with per-weight steps over shuffled batches of rows; the rarer class weighs as much as the other, up to MOST_WEIGHT."""
+    n = len(y)
+    order = np.argsort(row, kind="stable")
+    feature = feature[order]
+    first = np.searchsorted(row[order], np.arange(n + 1))
     positive = max(1.0, y.sum())
-    weight = np.where(y > 0, max(1.0, n - positive) / positive, 1.0)
-    weight /= weight.sum()
-    w, squares, bias = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-12), 0.0
-    for _ in range(steps):
-        z = np.bincount(row, weights=w[feature], minlength=n) + bias
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.bincount(feature, weights=error[row], minlength=DIMENSIONS) + ridge * w / n
-        squares += g * g
-        w -= 0.15 * g / np.sqrt(squares)
-        bias -= 0.5 * error.sum()
-    z = np.bincount(row, weights=w[feature], minlength=n) + bias
-    low = float(np.quantile(z[y > 0], 0.001)) if y.any() else 0.0
-    return Model(w.astype(np.float32), float(bias), min(-2.5, low - 1.0))
-
-
-def labelled_units(df: DataFrame, key: str, text: str, host: Column, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(unit, label, size, title, held_out) of a bounded sample of documents."""
+    weight = np.where(y > 0, min(MOST_WEIGHT, max(1.0, (n - positive) / positive)), 1.0)
+    w, squares, bias = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8), 0.0
+    random = np.random.default_rng(seed)
+    for _ in range(-(-steps // -(-n // batch))):
+        places = random.permutation(n)
+        for a in range(0, n, batch):
+            rows = places[a : a + batch]
+            count = first[rows + 1] - first[rows]
+            at = np.repeat(first[rows], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            f, local = feature[at], np.repeat(np.arange(len(rows)), count)
+            z = np.bincount(local, weights=w[f], minlength=len(rows)) + bias
+            error = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows])
+            error /= weight[rows].sum()
+            g = np.bincount(f, weights=error[local], minlength=DIMENSIONS) + ridge * w
+            squares += g * g
+            w -= 0.1 * g / np.sqrt(squares)
+            bias -= 0.3 * error.sum()
+    return w, bias
+
+
+def fit(texts: Sequence[str], labels: np.ndarray, sizes: Sequence[int], titles: Sequence[bool]) -> Model:
+    """labels: one column per head."""
+    feature, row = featurize(texts, sizes, titles)
+    heads = []
+    for k, head in enumerate(HEADS):
+        # a slot is known by its shape: letters would only name the slots that were labelled
+        own = feature >= _SIZE if head == "slot" else np.ones(len(feature), bool)
+        heads.append(fit_head(feature[own], row[own], labels[:, k].astype(float)) if labels[:, k].any() else (np.zeros(DIMENSIONS), -1.0))
+    return Model(np.array([w for w, _ in heads], dtype=np.float32), np.array([b for _, b in heads]))
+
+
+def decide(model: Model, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(excluded, score) of each text; the score is the greatest of its windows and heads."""
+    per = [rows_of(t) for t in texts]
+    flat = [r for rows in per for r in rows]
+    count = np.array([len(rows) for rows in per], dtype=np.int64)
+    doc = np.repeat(np.arange(len(texts)), count)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)[doc]
+    unit = np.array([r.unit for r in flat], dtype=np.int64)
+    z = model.scores([r.text for r in flat], sizes, unit == 0)
+    best = np.full(len(texts), -np.inf)
+    np.maximum.at(best, doc, z.max(axis=1, initial=-np.inf))
+    slot = np.bincount(doc, weights=z[:, 0] > 0, minlength=len(texts)) > 0
+    # windows of a unit: it is of a page if one of them is
+    head = np.ones(len(flat), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (unit[1:] != unit[:-1])
+    number = np.cumsum(head) - 1
+    page = np.bincount(number, weights=z[:, 1] > 0, minlength=int(head.sum())) > 0
+    owner, real = doc[head], np.array([r.real for r in flat], dtype=bool)[head]
+    residue_units = np.bincount(owner, weights=page, minlength=len(texts))
+    real_units = np.bincount(owner, weights=real & ~page, minlength=len(texts))
+    return slot | ((residue_units > 0) & (real_units <= MOST_REAL)), best
+
+
+def labelled_rows(df: DataFrame, key: str, text: str, host: Column, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """(window, slot, page, size, title, held_out) of a bounded sample of documents: each labelled window, and one of NEGATIVE_SHARE others."""
     share = min(1.0, documents / max(1, df.count()))
     h = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(1_000_000))
     held = F.pmod(F.xxhash64(F.coalesce(host.cast("string"), F.col(key).cast("string"))), F.lit(HELD_OUT)) == 0
@@ -357,54 +397,62 @@ def labelled_units(df: DataFrame, key: str, text: str, host: Column, documents:
         for b in batches:
             rows = []
             for t, h, held in zip(b["text"], b["h"], b["held"]):
-                masked = without_code(t)
-                for i, u in enumerate(units(masked)):
-                    label = weak_label(u)
-                    if label or (int(h) + i) % NEGATIVE_SHARE == 0:
-                        rows.append((u, label, len(t), i == 0, bool(held)))
-            yield pd.DataFrame(rows, columns=["unit", "label", "size", "title", "held_out"])
+                for i, r in enumerate(rows_of(t)):
+                    slot, page = weak_labels(r.text)
+                    if slot or page or (int(h) + i) % NEGATIVE_SHARE == 0:
+                        rows.append((r.text, slot, page, len(t), r.unit == 0, bool(held)))
+            yield pd.DataFrame(rows, columns=["window", "slot", "page", "size", "title", "held_out"])
 
-    return chosen.mapInPandas(run, "unit string, label boolean, size int, title boolean, held_out boolean")
+    return chosen.mapInPandas(run, "window string, slot boolean, page boolean, size int, title boolean, held_out boolean")
 
 
 def train(df: DataFrame, key: str, text: str, host: Column, documents: int = SAMPLE_DOCUMENTS) -> tuple[Model, list[dict]]:
-    """The model, fitted on the units of hosts not held out, and its figures on both parts."""
-    rows = labelled_units(df, key, text, host, documents).toPandas()
+    """The model, fitted on the windows of hosts not held out, and its figures on both parts."""
+    rows = labelled_rows(df, key, text, host, documents).toPandas()
     # the order of tasks must not matter
-    rows = rows.sort_values(["unit", "size", "title", "label", "held_out"]).reset_index(drop=True)
+    rows = rows.sort_values(list(rows.columns)).reset_index(drop=True)
     own = rows[~rows["held_out"]]
-    if not own["label"].any():
-        return Model(np.zeros(DIMENSIONS, np.float32), 0.0, -1.0), []
-    model = fit(own["unit"].tolist(), own["label"].tolist(), own["size"].tolist(), own["title"].tolist())
+    labels = list(HEADS)
+    model = fit(own["window"].tolist(), own[labels].to_numpy(dtype=bool).reshape(-1, 2), own["size"].tolist(), own["title"].tolist())
     figures = []
     for name, part in (("fitted", own), ("unseen hosts", rows[rows["held_out"]])):
-        if len(part):
-            z, y = model.best(part["unit"].tolist()), part["label"].to_numpy()
-            near, sure = z > model.threshold, z > 0
+        z = model.scores(part["window"].tolist(), part["size"].to_numpy(), part["title"].to_numpy(dtype=bool))
+        for k, head in enumerate(labels):
+            y, sure = part[head].to_numpy(dtype=bool), z[:, k] > 0
             figures.append({
-                "part": name, "n_units": len(part), "n_labelled": int(y.sum()),
-                "recall_of_candidates": float((near & y).sum() / max(1, y.sum())), "candidate_share": float(near.mean()),
+                "part": name, "head": head, "n_windows": len(part), "n_labelled": int(y.sum()),
                 "precision": float((sure & y).sum() / max(1, sure.sum())), "recall": float((sure & y).sum() / max(1, y.sum())),
             })
     return model, figures
 
 
 def residue(df: DataFrame, key: str, text: str, host: Column, model: Model | None = None) -> DataFrame:
-    """(key, score): the documents to exclude, with the greatest score of their units."""
+    """(key, score): the documents to exclude, with the greatest score of their windows."""
     fitted = model if model is not None else train(df, key, text, host)[0]
-    weights = df.sparkSession.sparkContext.broadcast(fitted.weights)  # DIMENSIONS numbers
-    bias, threshold = fitted.bias, fitted.threshold
+    weights = df.sparkSession.sparkContext.broadcast(fitted.weights)  # 2 x DIMENSIONS numbers
+    bias = fitted.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(weights.value, bias, threshold)
+        m = Model(weights.value, bias)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                texts = part.column(1).to_pylist()
-                score = m.best(texts)
-                keep = [k for k in np.flatnonzero(score > threshold).tolist() if check(texts[k])]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(score[keep], pa.float64())], names=[key, "score"])
+            for part in _portions(b):
+                out, score = decide(m, part.column(1).to_pylist())
+                keep = pa.array(np.flatnonzero(out), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(keep), pa.array(score[out], pa.float64())], names=[key, "score"])
 
     kind = df.schema[key].dataType.simpleString()
-    written = df.select(key, text).where(F.col(text).isNotNull() & (F.trim(text) != ""))
+    written = df.select(key, text).where(F.col(text).isNotNull() & F.col(text).rlike(r"(?U)\S"))
     return written.mapInArrow(run, f"`{key}` {kind}, score double")
+
+
+def _portions(batch: pa.RecordBatch, rows: int = 256, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many rows and about so many letters (a longer text stands alone)."""
+    at = total = 0
+    lengths = [len(t) for t in batch.column(1).to_pylist()]
+    for i, n in enumerate(lengths):
+        if i > at and (i - at == rows or total + n > size):
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < len(lengths):
+        yield batch.slice(at)
