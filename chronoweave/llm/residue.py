@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm.markup_scan import HTML_NAMES, scan
 
 #: Bounds of the fit: documents (about so many, chosen by hash) whose units are labelled, and one of so many of their unlabelled windows.
-SAMPLE_DOCUMENTS, NEGATIVE_SHARE = 40_000, 16
+SAMPLE_DOCUMENTS, NEGATIVE_SHARE = 20_000, 16
 #: One of so many hosts is held out.
 HELD_OUT = 5
 #: Hash bits of the n-grams, lengths of the letter n-grams and of the shape n-grams, and of the exact ones.
@@ -259,6 +259,9 @@ _SHAPE[97:123] = 97
 _SHAPE[0xC3:0xE0] = 97
 _SHAPE[65:91] = 65
 _SHAPE[48:58] = 48
+#: Signs of which a run counts as one.
+_RUNS = np.zeros(256, bool)
+_RUNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC3, 0xE0)]] = True
 _SIZE = 1 << BITS
 _EXTRA = (2 + len(SHAPES)) * _SIZE
 DIMENSIONS = _EXTRA + 64
@@ -285,29 +288,42 @@ def _bucket(n: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(np.log2(n + 1).astype(np.int64), most)
 
 
-def featurize(texts: Sequence[str], sizes: Sequence[int], titles: Sequence[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, row) of the hashed n-grams of letters and shapes, the lengths of window and document, and the title."""
+def _streams(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first feature, hash of each n-gram, whether it lies in one text, the row each text begins at) per kind of n-gram."""
     raw = [b"\n" + t.encode("utf-8", "replace") + b"\n" for t in texts]
     buffer = np.frombuffer(b"".join(raw), dtype=np.uint8)
     length = np.array([len(r) for r in raw], dtype=np.int64)
-    row = np.repeat(np.arange(len(raw)), length)
-    low = _grams(_LOW[buffer], LETTERS)
-    same = row[: len(low)] == row[LETTERS - 1 :]
-    exact = _grams(_EXACT[buffer], EXACT)
-    same_exact = row[: len(exact)] == row[EXACT - 1 :]
+    row = np.repeat(np.arange(len(raw), dtype=np.int32), length)
+    starts = np.cumsum(length) - length
     shape = _SHAPE[buffer]
     keep = np.ones(len(shape), bool)
-    keep[1:] = ~((shape[1:] == shape[:-1]) & np.isin(shape[1:], (97, 65, 48)))
+    keep[1:] = (shape[1:] != shape[:-1]) | ~_RUNS[buffer[1:]]
     short, short_row = shape[keep], row[keep]
-    features, where = [low[same], (1 + len(SHAPES)) * _SIZE + exact[same_exact]], [row[: len(low)][same], row[: len(exact)][same_exact]]
-    for i, n in enumerate(SHAPES):
-        f = _grams(short, n)
-        ok = short_row[: len(f)] == short_row[n - 1 :]
-        features.append((i + 1) * _SIZE + f[ok])
-        where.append(short_row[: len(f)][ok])
-    every = np.arange(len(raw))
-    features += [_EXTRA + _bucket(length, 15), _EXTRA + 16 + _bucket(np.array(sizes, dtype=np.int64), 19), _EXTRA + 40 + np.array(titles, dtype=np.int64)]
-    return np.concatenate(features), np.concatenate([*where, every, every, every])
+    short_starts = np.searchsorted(short_row, np.arange(len(raw)))
+    kinds = [(_LOW[buffer], LETTERS, row, starts), *((short, n, short_row, short_starts) for n in SHAPES), (_EXACT[buffer], EXACT, row, starts)]
+    for k, (codes, n, rows, first) in enumerate(kinds):
+        h = _grams(codes, n)
+        inside = np.zeros(len(rows), bool)
+        inside[: len(h)] = rows[: len(h)] == rows[n - 1 :]
+        yield k * _SIZE, np.pad(h, (0, len(rows) - len(h))), inside, first
+
+
+def _lengths(texts: Sequence[str], sizes: Sequence[int], titles: Sequence[bool]) -> list[np.ndarray]:
+    """The features of each text that aren't n-grams: its length, its document's, and whether it is the title."""
+    own = np.array([len(t.encode("utf-8", "replace")) + 2 for t in texts], dtype=np.int64)
+    return [_EXTRA + _bucket(own, 15), _EXTRA + 16 + _bucket(np.array(sizes, dtype=np.int64), 19), _EXTRA + 40 + np.array(titles, dtype=np.int64)]
+
+
+def featurize(texts: Sequence[str], sizes: Sequence[int], titles: Sequence[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, row) of the hashed n-grams of letters, shapes and exact signs, the lengths of window and document, and the title."""
+    features, where = [], []
+    every = np.arange(len(texts))
+    for offset, h, inside, first in _streams(texts):
+        row = np.repeat(every, np.diff(np.append(first, len(h))))
+        features.append(offset + h[inside])
+        where.append(row[inside])
+    extra = _lengths(texts, sizes, titles)
+    return np.concatenate([*features, *extra]), np.concatenate([*where, *[every] * len(extra)])
 
 
 @dataclass
@@ -321,8 +337,15 @@ class Model:
         """One row per text, one column per head."""
         if not len(texts):
             return np.zeros((0, len(HEADS)))
-        feature, row = featurize(texts, sizes, titles)
-        return np.stack([np.bincount(row, weights=w[feature], minlength=len(texts)) + b for w, b in zip(self.weights, self.bias)], axis=1)
+        by_feature = np.ascontiguousarray(self.weights.T, dtype=np.float32)
+        total = np.tile(self.bias, (len(texts), 1))
+        for offset, h, inside, first in _streams(texts):
+            w = by_feature[offset : offset + _SIZE].take(h, axis=0)
+            w[~inside] = 0
+            total += np.add.reduceat(w, first, axis=0)
+        for f in _lengths(texts, sizes, titles):
+            total += by_feature[f]
+        return total
 
 
 def fit_head(feature: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 4096, ridge: float = 1e-6, seed: int = 0) -> tuple[np.ndarray, float]:
