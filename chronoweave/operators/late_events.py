@@ -1,20 +1,23 @@
 """Per-day aggregates by event time that late arrivals correct up to a cut-off.
 
-Conflict-free counters: every event is a register whose arrival is the least one
-seen; the registers of a period and a source (the arrival day) make one counter with
-a version. Counters merge by the greatest version per (period, source) and are then
-summed over sources, so retries, repeated rows and reordering change nothing.
+Conflict-free counters, keyed by period, source and version: a source is an event, its
+version the instant of an arrival, and every delivered row is a state of its source that
+counts one. States merge per source by precedence of version (the earliest arrival says
+when the event came, the latest one within the cut-off says its value), and the sources
+of a period are then summed. The merge takes states in any order, in any split into
+deliveries and any number of times, and loses none, as two sources never share a state.
 
 Defined cases: rows without event id are ignored; an event without a valid day or
 without any valid arrival takes part in nothing; a null value counts as an event but
-not in the mean; an empty table gives no rows; other columns are ignored.
+not in the mean; an event whose rows name several days belongs to the first; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.calendar import arrival_seconds, date_of, day_number, utc_day, ymd_to_date
@@ -22,57 +25,44 @@ from chronoweave.functions.calendar import arrival_seconds, date_of, day_number,
 CUT_OFF_DAYS = 7
 
 
-def event_registers(rows: DataFrame, key: str, day: str, stamp: str, value: str, cut_off: int = CUT_OFF_DAYS) -> DataFrame:
-    """One row per event: event_day, source_day and version of its earliest arrival, and the value of its latest revision within the cut-off."""
+def delivered(rows: DataFrame, key: str, day: str, stamp: str, value: str, cut_off: int = CUT_OFF_DAYS) -> DataFrame:
+    """A delivery as states (source, period, version, revision), one per row; revision is (arrival, value) of an arrival within the cut-off."""
     at = rows.select(
-        F.col(key).alias("event_id"),
-        day_number(ymd_to_date(F.col(day))).cast("bigint").alias("d"),
-        arrival_seconds(F.col(stamp)).alias("a"),
-        F.col(value).cast("double").alias("v"),
-    ).where("event_id is not null")
-    in_time = utc_day(F.col("a")) - F.col("d") <= cut_off
-    return (
-        at.groupBy("event_id")
-        .agg(
-            F.min("d").alias("event_day"),
-            F.min("a").alias("version"),
-            F.max(F.when(in_time, F.struct("a", "v"))).alias("latest"),
-        )
-        .select("event_id", "event_day", utc_day(F.col("version")).alias("source_day"), "version", F.col("latest.v").alias("value"))
-    )
+        F.col(key).alias("source"),
+        day_number(ymd_to_date(F.col(day))).cast("bigint").alias("period"),
+        arrival_seconds(F.col(stamp)).alias("version"),
+        F.col(value).cast("double").alias("_v"),
+    ).where("source is not null")
+    in_time = utc_day(F.col("version")) - F.col("period") <= cut_off
+    return at.select("source", "period", "version", F.when(in_time, F.struct(F.col("version").alias("at"), F.col("_v").alias("value"))).alias("revision"))
 
 
-def valid_registers(registers: DataFrame) -> DataFrame:
-    return registers.where("event_day is not null and version is not null")
+def merge_counters(*states: DataFrame) -> DataFrame:
+    """Merge any number of tables of states to one state per source; partial merges happen before the shuffle."""
+    every = reduce(DataFrame.unionByName, states)
+    return every.groupBy("source").agg(F.min("period").alias("period"), F.min("version").alias("version"), F.max("revision").alias("revision"))
 
 
-def counters(registers: DataFrame) -> DataFrame:
-    """Registers -> counters keyed by (event_day, source_day), with their version."""
-    return (
-        valid_registers(registers)
-        .groupBy("event_day", "source_day")
-        .agg(
-            F.max("version").alias("version"),
-            F.count(F.lit(1)).alias("events"),
-            F.count("value").alias("values"),
-            F.sum(F.col("value").cast("decimal(38,10)")).alias("total"),
-        )
-    )
+def complete(states: DataFrame) -> DataFrame:
+    return states.where("period is not null and version is not null")
 
 
-def merge_counters(*states: DataFrame) -> DataFrame:
-    """Merge any number of counter tables: per (event_day, source_day) the state of the greatest version (then of the most events)."""
-    every = reduce(DataFrame.unionByName, states)
-    best = F.max(F.struct("version", "events", "values", "total")).alias("s")
-    return every.groupBy("event_day", "source_day").agg(best).select("event_day", "source_day", "s.*")
+def counters(states: DataFrame) -> DataFrame:
+    """Merged states -> (event_day, source_day, events, values, total): the sum of the sources per period and day of arrival."""
+    value = F.col("revision.value")
+    return (
+        complete(states)
+        .groupBy(F.col("period").alias("event_day"), utc_day(F.col("version")).alias("source_day"))
+        .agg(F.count(F.lit(1)).alias("events"), F.count(value).alias("values"), F.sum(value.cast("decimal(38,10)")).alias("total"))
+    )
 
 
-def daily(states: DataFrame, cut_off: int = CUT_OFF_DAYS) -> DataFrame:
+def daily(sums: DataFrame, cut_off: int = CUT_OFF_DAYS) -> DataFrame:
     """Counters -> per event day: counts on time, corrected and dropped, and the corrected count and mean."""
     late = F.col("source_day") - F.col("event_day")
     kept = late <= cut_off
     return (
-        states.groupBy("event_day")
+        sums.groupBy("event_day")
         .agg(
             F.sum(F.when(late <= 0, F.col("events")).otherwise(0)).alias("on_time"),
             F.sum(F.when((late > 0) & kept, F.col("events")).otherwise(0)).alias("corrected"),
@@ -88,14 +78,12 @@ def daily(states: DataFrame, cut_off: int = CUT_OFF_DAYS) -> DataFrame:
     )
 
 
-def revisions(states: DataFrame, cut_off: int = CUT_OFF_DAYS) -> DataFrame:
+def revisions(sums: DataFrame, cut_off: int = CUT_OFF_DAYS) -> DataFrame:
     """Every published version of a day: its count and mean as of each arrival day that changed it within the cut-off."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("event_day").orderBy("late").rowsBetween(Window.unboundedPreceding, 0)
     late = F.greatest(F.col("source_day") - F.col("event_day"), F.lit(0))
     per = (
-        states.withColumn("late", late).where(F.col("late") <= cut_off)
+        sums.withColumn("late", late).where(F.col("late") <= cut_off)
         .groupBy("event_day", "late").agg(F.sum("events").alias("e"), F.sum("values").alias("v"), F.sum("total").alias("t"))
     )
     return per.select(
@@ -105,9 +93,7 @@ def revisions(states: DataFrame, cut_off: int = CUT_OFF_DAYS) -> DataFrame:
     )
 
 
-def outcomes(registers: DataFrame, cut_off: int = CUT_OFF_DAYS) -> DataFrame:
-    """The events that came after their day: `corrected` within the cut-off, else `dropped`."""
-    late = F.col("source_day") - F.col("event_day")
-    return valid_registers(registers).where(late > 0).select(
-        "event_id", F.when(late <= cut_off, "corrected").otherwise("dropped").alias("outcome")
-    )
+def outcomes(states: DataFrame, cut_off: int = CUT_OFF_DAYS) -> DataFrame:
+    """Merged states -> (event_id, outcome) of the events that came after their day: `corrected` within the cut-off, else `dropped`."""
+    late = utc_day(F.col("version")) - F.col("period")
+    return complete(states).where(late > 0).select(F.col("source").alias("event_id"), F.when(late <= cut_off, "corrected").otherwise("dropped").alias("outcome"))

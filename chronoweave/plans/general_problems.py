@@ -31,8 +31,9 @@ ok as (
 """
 
 
-def _registers(spark: SparkSession, d: str) -> DataFrame:
-    return late_events.event_registers(read_table(spark, d, "gdelt_slices"), "globaleventid", "sqldate", "dateadded", "goldsteinscale")
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    """The merged states of all slices: each row of the table is the state that its own slice delivered."""
+    return late_events.merge_counters(late_events.delivered(read_table(spark, d, "gdelt_slices"), "globaleventid", "sqldate", "dateadded", "goldsteinscale"))
 
 
 @query(
@@ -45,7 +46,7 @@ select d as event_date, count(*) filter (where late <= 0) as on_time, count(*) f
 from ok group by 1""",
 )
 def p3_daily(spark: SparkSession, d: str) -> DataFrame:
-    out = late_events.daily(late_events.counters(_registers(spark, d)))
+    out = late_events.daily(late_events.counters(_merged(spark, d)))
     return out.withColumn("mean_goldstein", F.round("mean_value", 6)).drop("mean_value")
 
 
@@ -58,7 +59,7 @@ select d as event_date, days_late, sum(e) over w as n_events, round(sum(t) over
 from per window w as (partition by d order by days_late rows unbounded preceding)""",
 )
 def p3_revisions(spark: SparkSession, d: str) -> DataFrame:
-    out = late_events.revisions(late_events.counters(_registers(spark, d)))
+    out = late_events.revisions(late_events.counters(_merged(spark, d)))
     return out.withColumn("mean_goldstein", F.round("mean_value", 6)).drop("mean_value")
 
 
@@ -67,7 +68,7 @@ def p3_revisions(spark: SparkSession, d: str) -> DataFrame:
     _P3_EVENTS + "select globaleventid, case when late <= 7 then 'corrected' else 'dropped' end as outcome from ok where late > 0",
 )
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return late_events.outcomes(_registers(spark, d)).withColumnRenamed("event_id", "globaleventid")
+    return late_events.outcomes(_merged(spark, d)).withColumnRenamed("event_id", "globaleventid")
 
 
 # --- a few keys holding most records ----------------------------------------

@@ -7,10 +7,12 @@ files per trigger; a failed batch ends the query, and its exception reaches the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from chronoweave.functions.calendar import utc_day
 from chronoweave.operators import late_events
 from chronoweave.schema import EDGE_SCHEMA
 
@@ -56,24 +58,46 @@ def keep_window(edges: DataFrame, table: str, checkpoint: str, seconds: int) ->
     return edges.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def late_counters(slices: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Registers of late events, merged batch by batch: the least arrival of an event and its latest value within the cut-off.
+#: Days by which deliveries may come in another order than their arrivals.
+DISORDER_DAYS = 7
 
-    slices: globaleventid, sqldate, dateadded, goldsteinscale. The merge is idempotent, so that batches may come twice and in any order.
+
+def late_counters(slices: DataFrame, table: str, checkpoint: str, cut_off: int = late_events.CUT_OFF_DAYS, disorder: int = DISORDER_DAYS) -> StreamingQuery:
+    """Counters of late events, merged batch by batch; slices: globaleventid, sqldate, dateadded, goldsteinscale.
+
+    `open/batch=n` holds the merged states of the days that can still change, `closed/batch=n` the sums of the days
+    that batch n closed, `mark/batch=n` the latest day of arrival. A day closes when an arrival more than cut_off +
+    disorder days behind it was seen; what is delivered for it afterwards is left out, so that the state holds a
+    bounded number of days. A batch that comes again replaces itself; one that brings rows a second time changes nothing.
     """
     spark = slices.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select("globaleventid", "sqldate", "dateadded", "goldsteinscale")
-        old = spark.read.parquet(f"{table}/batch={batch_id - 1}") if batch_id else None
-        # the state keeps one row per (event, arrival): what the registers are made of
-        rows = (new if old is None else old.unionByName(new)).distinct()
-        rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        new = late_events.delivered(batch, "globaleventid", "sqldate", "dateadded", "goldsteinscale", cut_off)
+        mark = new.agg(F.max(utc_day(F.col("version"))).alias("mark"))
+        if batch_id:
+            before = spark.read.parquet(f"{table}/mark/batch={batch_id - 1}")
+            last = before.select("mark").scalar()
+            mark = mark.unionByName(before).agg(F.max("mark").alias("mark"))
+            fresh = new.where(~closed_by(last)).unionByName(spark.read.parquet(f"{table}/open/batch={batch_id - 1}"))
+        else:
+            fresh = new
+        mark.write.mode("overwrite").parquet(f"{table}/mark/batch={batch_id}")
+        states = late_events.merge_counters(fresh).persist(StorageLevel.DISK_ONLY)
+        gone = closed_by(F.lit(spark.read.parquet(f"{table}/mark/batch={batch_id}").first().mark))
+        late_events.counters(states.where(gone)).write.mode("overwrite").parquet(f"{table}/closed/batch={batch_id}")
+        states.where(~gone).write.mode("overwrite").parquet(f"{table}/open/batch={batch_id}")
+        states.unpersist()
+
+    def closed_by(mark: Column) -> Column:
+        # a state without its day expires by its arrival
+        day = F.coalesce("period", utc_day(F.col("version")))
+        return F.coalesce(day + cut_off + disorder < mark, F.lit(False))
 
     return slices.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def counters_of(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
-    """The daily figures after a batch."""
-    rows = spark.read.parquet(f"{table}/batch={batch_id}")
-    return late_events.daily(late_events.counters(late_events.event_registers(rows, "globaleventid", "sqldate", "dateadded", "goldsteinscale")))
+    """The daily figures after a batch: the sums of the closed days and of the open ones."""
+    closed = spark.read.parquet(*[f"{table}/closed/batch={i}" for i in range(batch_id + 1)])
+    return late_events.daily(closed.unionByName(late_events.counters(spark.read.parquet(f"{table}/open/batch={batch_id}"))))

@@ -13,8 +13,12 @@ def slices(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], SLICES)
 
 
+def delivered(df):
+    return late_events.delivered(df, "globaleventid", "sqldate", "dateadded", "goldsteinscale")
+
+
 def registers(df):
-    return late_events.event_registers(df, "globaleventid", "sqldate", "dateadded", "goldsteinscale")
+    return late_events.merge_counters(delivered(df))
 
 
 ROWS = [
@@ -33,13 +37,23 @@ def test_late_events_outcomes_and_means(spark):
 
 
 def test_late_events_merge_is_idempotent_and_free_of_order(spark):
-    shuffled = ROWS * 2
-    random.Random(1).shuffle(shuffled)
-    a, b = (late_events.counters(registers(slices(spark, x))) for x in (ROWS, shuffled))
-    one = sorted(map(str, late_events.daily(a).collect()))
-    assert one == sorted(map(str, late_events.daily(late_events.merge_counters(b, a, a)).collect()))
-    half = late_events.counters(registers(slices(spark, ROWS[:1])))
-    assert one == sorted(map(str, late_events.daily(late_events.merge_counters(half, a)).collect()))
+    g = random.Random(1)
+    whole = sorted(map(str, late_events.daily(late_events.counters(registers(slices(spark, ROWS)))).collect()))
+    for parts in (2, 3, 5):
+        deliveries = [[] for _ in range(parts)]
+        for row in ROWS * 2:  # every row comes twice, perhaps in two deliveries
+            g.choice(deliveries).append(row)
+        states = [registers(slices(spark, x)) for x in deliveries]
+        g.shuffle(states)
+        merged = late_events.merge_counters(states[0], late_events.merge_counters(*states), states[-1])
+        assert sorted(map(str, late_events.daily(late_events.counters(merged)).collect())) == whole
+
+
+def test_no_event_is_lost_between_deliveries(spark):
+    at = [(i, 20230101, 20230102000000, 1.0) for i in (1, 2, 3)]
+    first, second = registers(slices(spark, at[:2])), registers(slices(spark, at[2:]))
+    (day,) = late_events.daily(late_events.counters(late_events.merge_counters(first, second))).collect()
+    assert day.n_events == 3 and day.corrected == 3
 
 
 def test_late_events_empty(spark):
