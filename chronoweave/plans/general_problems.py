@@ -147,11 +147,15 @@ named as (
          json_type(payload, '$."' || raw || '"') as t
   from keys k left join field_spelling s on s.feed = k.feed and s.spelling = lower(trim(raw))),
 seq as (select feed, file_no, row_number() over (partition by feed order by file_no) as file_seq from (select distinct feed, file_no from feed_records)),
-cat as (
+sets as (
   select feed, file_no, file_seq, field, list_sort(list(distinct spelling)) as spellings,
-         min(case t when 'VARCHAR' then 'string' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'decimal'
-                    when 'BOOLEAN' then 'boolean' when 'NULL' then null else lower(t) end) as json_type
-  from named join seq using (feed, file_no) group by all)
+         list_sort(list(distinct case t when 'VARCHAR' then 'string' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'decimal'
+                    when 'BOOLEAN' then 'boolean' when 'NULL' then null else lower(t) end)) as types
+  from named join seq using (feed, file_no) group by all),
+cat as (
+  select feed, file_no, file_seq, field, spellings,
+         nullif(array_to_string(list_filter(types, lambda x: x is not null and not (x = 'integer' and list_contains(types, 'decimal'))), '|'), '') as json_type
+  from sets)
 """
 
 
@@ -184,16 +188,48 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.changes(_catalogue(spark, d))
 
 
-@query("p6_supply_chain")
+_P6_VALUES = """
+with lines as (select feed, file_no, line_no, payload, min(file_name) as file_name, min(delivered_at) as delivered_at from feed_records where feed = '{feed}' and payload is not null group by all),
+keys as (select *, unnest(json_keys(payload)) as raw from lines),
+named as (
+  select k.file_no, k.line_no, k.payload, raw, coalesce(s.field_name, lower(trim(raw))) as field, nullif(trim(json_extract_string(payload, '$."' || raw || '"')), '') as v
+  from keys k left join field_spelling s on s.feed = k.feed and s.spelling = lower(trim(raw))),
+one as (select file_no, line_no, payload, field, arg_min(v, raw) as v from named where v is not null group by all),
+wide as (
+  select l.feed, l.file_no, l.file_name, l.delivered_at, l.line_no, map_from_entries(list((o.field, o.v)) filter (where o.field is not null)) as m
+  from lines l left join one o using (file_no, line_no, payload) group by l.feed, l.file_no, l.file_name, l.delivered_at, l.line_no, l.payload)
+"""
+_DATE = "case when {v} ~ '^[0-9]{{4}}$' then make_date({v}::int, 12, 31) when {v} ~ '^[0-9]{{8}}$' then try_strptime({v}, '%Y%m%d')::date else try_cast(substr({v}, 1, 10) as date) end"
+_ID = "lpad(regexp_replace({v}, '\\.0+$', ''), 6, '0')"
+_SUPPLY_FIELDS = {"cgvkey": _ID, "ctic": "{v}", "gvkey": _ID, "sale_unit": "{v}", "salecs": "try_cast({v} as double)", "seg_rank": "try_cast({v} as bigint)", "srcdate": _DATE, "stype": "{v}", "tic": "{v}"}
+_GDELT_FIELDS = {
+    "actor1countrycode": "{v}", "actor1name": "{v}", "actor2countrycode": "{v}", "actor2name": "{v}", "dateadded": "try_cast({v} as bigint)", "globaleventid": "try_cast({v} as bigint)",
+    "goldsteinscale": "try_cast({v} as double)", "isrootevent": "try_cast({v} as boolean)", "numarticles": "try_cast({v} as bigint)", "nummentions": "try_cast({v} as bigint)", "sourceurl": "{v}", "sqldate": _DATE,
+}
+
+
+def _wide(feed: str, fields: dict[str, str]) -> str:
+    """SQL of a feed's table; its columns are those of the files at sf0.01."""
+    columns = [e.replace("{v}", f"m['{f}']").replace("{{", "{").replace("}}", "}") + f" as {f}" for f, e in fields.items()]
+    return _P6_VALUES.replace("{feed}", feed) + f"select feed, file_no, file_name, delivered_at, line_no, {', '.join(columns)} from wide"
+
+
+@query("p6_supply_chain", _wide("supply_chain", _SUPPLY_FIELDS))
 def p6_supply_chain(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.consistent_table(read_table(spark, d, "feed_records"), read_table(spark, d, "field_spelling"), "supply_chain")
 
 
-@query("p6_gdelt")
+@query("p6_gdelt", _wide("gdelt", _GDELT_FIELDS))
 def p6_gdelt(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.consistent_table(read_table(spark, d, "feed_records"), read_table(spark, d, "field_spelling"), "gdelt")
 
 
+@query("p6_casts")
+def p6_casts(spark: SparkSession, d: str) -> DataFrame:
+    """The type each field got, and how many of its values can't be cast."""
+    return schema_drift.cast_report(read_table(spark, d, "feed_records"), read_table(spark, d, "field_spelling"))
+
+
 # --- rolling totals over trailing periods -----------------------------------
 
 _P7 = """

@@ -118,19 +118,29 @@ def test_schema_changes(spark):
 def test_schema_empty(spark):
     empty = feed(spark, [])
     assert schema_drift.changes(schema_drift.catalogue(empty, spelling(spark))).count() == 0
-    assert schema_drift.consistent_table(empty, spelling(spark), "f", {"amount": "double"}).count() == 0
+    assert schema_drift.consistent_table(empty, spelling(spark), "f").count() == 0
 
 
 def test_consistent_table(spark):
-    lines = [(1, '{"id": 1, "AMT ": "5"}'), (1, '{"id": 1, "AMT ": "5"}'), (2, '{"id": "x", "amount": 2.5, "more": null, "other": true}'), (3, "[1]")]
-    rows = schema_drift.consistent_table(feed(spark, lines), spelling(spark), "f", {"id": "string", "amount": "double"}).orderBy("file_no", "line_no").collect()
-    assert [(r.file_no, r.id, r.amount, r.other_fields) for r in rows] == [(1, "1", 5.0, {}), (1, "1", 5.0, {}), (2, "x", 2.5, {"other": "true"}), (3, None, None, {})]
+    lines = [(1, '{"id": "007", "AMT ": "5"}'), (1, '{"id": "007", "AMT ": "5"}'), (2, '{"id": 12, "amount": 2.5, "more": null, "other": true}'), (3, "[1]"), (4, '{"id": 3, "other": 0, "added": "2023-01-05"}'), (5, '{"added": 20230106}')]
+    rows = schema_drift.consistent_table(feed(spark, lines), spelling(spark), "f").orderBy("file_no", "line_no").collect()
+    got = [(r.file_no, r.id, r.amount, r.other, str(r.added)) for r in rows]
+    want = [(1, "007", 5.0, None, "None"), (1, "007", 5.0, None, "None"), (2, "012", 2.5, True, "None"), (3, None, None, None, "None"), (4, "003", None, False, "2023-01-05"), (5, None, None, None, "2023-01-06")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_mixed_types_and_failed_casts(spark):
+    lines = [(1, '{"id": 1, "x": 5}'), (1, '{"id": "a", "x": 5.5}')] + [(2, '{"id": 2, "x": 7}')] * 30 + [(2, '{"x": "bad"}')]
+    cat = {(r.file_no, r.field): r.json_type for r in schema_drift.catalogue(feed(spark, lines), spelling(spark)).collect()}
+    assert cat[1, "id"] == "integer|string" and cat[1, "x"] == "decimal" and cat[2, "x"] == "integer|string"
+    report = {r.field_name: (r.type, r.n_values, r.n_failed) for r in schema_drift.cast_report(feed(spark, lines), spelling(spark)).collect()}
+    assert report["x"] == ("double", 33, 1) and report["id"] == ("bigint", 32, 1) and report["amount"] == ("string", 0, 0)
 
 
 def test_field_types(spark):
-    values = [("company_id", "1234", "001234"), ("date", "2023", "2023-12-31"), ("date", "20230105", "2023-01-05"), ("date", "2023-01-05", "2023-01-05"), ("ymd", "2023-01-05", "20230105"), ("bigint", "12.0", "12"), ("int", "x", None)]
+    values = [("identifier", "1234", "001234"), ("identifier", "x1", "x1"), ("date", "2023", "2023-12-31"), ("date", "20230105", "2023-01-05"), ("date", "2023-01-05", "2023-01-05"), ("bigint", "12.0", "12"), ("bigint", "x", None)]
     for kind, raw, want in values:
-        got = spark.range(1).select(schema_drift.typed(F.lit(raw), kind).cast("string")).first()[0]
+        got = spark.range(1).select(schema_drift.typed(F.lit(raw), kind, 6).cast("string")).first()[0]
         assert got == want, (kind, raw, got)
 
 
