@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.session import checked_broadcast
+
 #: Tokens of a block, and rows of a bucket of the two-level sums.
 BLOCK_TOKENS, BUCKET_ROWS = 4_096, 20_000
 SLOTS_OF_CHUNK = 65_536
@@ -73,7 +75,7 @@ def sequence(sized: DataFrame, rows: list[dict], seed: int = 0) -> DataFrame:
     totals = base.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
     ahead = totals.withColumn("ahead", F.sum("t").over(Window.partitionBy("source").orderBy("bucket")) - F.col("t")).drop("t")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    summed = base.withColumn("within", F.sum("n_tokens").over(inside)).join(F.broadcast(ahead), ["source", "bucket"])
+    summed = base.withColumn("within", F.sum("n_tokens").over(inside)).join(checked_broadcast(ahead), ["source", "bucket"])
     rounds = F.explode(F.sequence(F.lit(0), _lookup(alive, "rounds", "int") - 1))
     copies = summed.withColumn("round", rounds).withColumn(
         "end", F.col("ahead") + F.col("within") + F.col("round") * _lookup(alive, "supply", "bigint")
@@ -99,7 +101,7 @@ def schedule(spark, rows: list[dict], block_tokens: int = BLOCK_TOKENS) -> DataF
     counts = slots.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("c"))
     ahead = counts.withColumn("ahead", F.sum("c").over(Window.partitionBy("source").orderBy("chunk")) - F.col("c")).drop("c")
     rank = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1
-    return slots.withColumn("r", rank).join(F.broadcast(ahead), ["source", "chunk"]).select("source", (F.col("ahead") + F.col("r")).alias("block"), "slot")
+    return slots.withColumn("r", rank).join(checked_broadcast(ahead), ["source", "chunk"]).select("source", (F.col("ahead") + F.col("r")).alias("block"), "slot")
 
 
 def mix_documents(sized: DataFrame, mix: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> tuple[DataFrame, list[dict]]:
