@@ -1,37 +1,109 @@
-"""Running sums and ranks in two levels, so that no task sorts a whole hot key or a whole table."""
+"""Running sums and ranks that no task makes alone for a whole hot key or a whole table.
+
+The rows are range-partitioned by keys and order (bounds sampled from the data, parts by
+its size) and sorted; every part is summed in one pass, in Arrow batches, and written to
+the shared folder, so that all that follows sees the same parts. A key that goes on from
+part to part stands first or last in each: only these keys' totals, at most two a part,
+are summed over parts and added to the rows by a broadcast of that bound.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
+
+from chronoweave.session import cut
+
+#: Bytes of the input files for which there is a part.
+PART_BYTES = 256 << 20
+
+
+def parts_of(df: DataFrame) -> int:
+    """Parts by the size of the files that df reads and the parts of what was written before, at least the session's number of shuffle partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    least, most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRDD":  # its size isn't known, its parts are
+            most = max(most, leaf.rdd().getNumPartitions())
+        elif leaf.getClass().getSimpleName() == "LogicalRelation":
+            least = max(least, -(-int(str(leaf.stats().sizeInBytes())) // PART_BYTES))
+    return max(least, most)
+
 
+def _summed(keys: Sequence[str], values: Sequence[str]):
+    """Adds, to batches of a part in order, the running sums within the part and the row's place in it."""
 
-def running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column | str], values: dict[str, Column]) -> DataFrame:
-    """df with, per name, the running sum of its value over the keys in the order; bucket must not fall as the order rises.
-    Rows with a null key have no run and are left out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry, place = None, np.zeros(len(values), np.int64), 0
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            columns = [b.column(b.schema.get_field_index(k)) for k in keys]
+            begins = np.zeros(n, bool)
+            for c in columns:
+                begins[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            here = tuple(c[0].as_py() for c in columns)
+            goes_on = last is not None and here == last
+            group = np.cumsum(begins)
+            first = np.concatenate([[0], np.flatnonzero(begins)])
+            out = []
+            for j, v in enumerate(values):
+                x = b.column(b.schema.get_field_index(v)).to_numpy(zero_copy_only=False).astype(np.int64)
+                total = np.cumsum(x)
+                sums = total - (total[first] - x[first])[group]
+                if goes_on:
+                    sums[group == 0] += carry[j]
+                carry[j] = sums[-1]
+                out.append(pa.array(sums))
+            last = tuple(c[n - 1].as_py() for c in columns)
+            kept = [i for i, f in enumerate(b.schema) if f.name not in values]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(i) for i in kept), *out, pa.array(np.arange(place, place + n))], names=[*(b.schema.names[i] for i in kept), *(f"_w_{v}" for v in values), "_place"]
+            )
+            place += n
 
-    Each (keys, bucket) is summed on its own; bucket totals, a row per key and bucket, are
-    summed over buckets and added.
+    return run
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """df with, per name, the running sum of its whole, not negative value over the keys in the order.
+
+    Rows with a null key have no run and are left out; equal places in the order may be summed in any order.
     """
-    cut = df.withColumn("_bucket", bucket)
-    parts = [*keys, "_bucket"]
-    totals = cut.groupBy(*parts).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
-    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = totals.select(*parts, *[F.coalesce(F.sum(f"_t_{n}").over(along), F.lit(0)).alias(f"_a_{n}") for n in values])
-    within = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = cut.withColumns({f"_w_{n}": F.sum(v).over(within) for n, v in values.items()})
-    joined = inner.join(ahead, parts)
-    return joined.withColumns({n: F.col(f"_a_{n}") + F.col(f"_w_{n}") for n in values}).drop("_bucket", *[f"_{k}_{n}" for n in values for k in "aw"])
-
-
-def ranks(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column | str], name: str) -> DataFrame:
-    """df with the 1-based rank of each row among its keys."""
-    return running(df, keys, bucket, order, {name: F.lit(1)})
+    known = df.where(" and ".join(f"`{k}` is not null" for k in keys)) if keys else df
+    given = known.withColumns({n: F.coalesce(v.cast("bigint"), F.lit(0)) for n, v in values.items()})
+    sort = [*keys, *order]
+    ranged = given.repartitionByRange(parts_of(df), *sort).sortWithinPartitions(*sort).withColumn("_part", F.spark_partition_id())
+    schema = StructType([f for f in ranged.schema.fields if f.name not in values])
+    for n in values:
+        schema = schema.add(f"_w_{n}", LongType())
+    schema = schema.add("_place", LongType())
+    done = cut(ranged.mapInArrow(_summed(keys, list(values)), schema))
+    # the first and the last key of each part, and what each part has of them
+    if keys:
+        key = F.struct(*keys)
+        ends = done.groupBy("_part").agg(F.min_by(key, "_place").alias("a"), F.max_by(key, "_place").alias("b"))
+        ends = ends.select("_part", F.explode(F.array_distinct(F.array("a", "b"))).alias("k")).select("_part", *[F.col(f"k.{k}").alias(k) for k in keys])
+        at_ends = done.join(F.broadcast(ends), ["_part", *keys], "left_semi")
+    else:
+        at_ends = done
+    totals = at_ends.groupBy("_part", *keys).agg(*[F.max(f"_w_{n}").alias(f"_t_{n}") for n in values])
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select("_part", *keys, *[F.sum(f"_t_{n}").over(before).alias(f"_a_{n}") for n in values])
+    ahead = ahead.where(" or ".join(f"_a_{n} > 0" for n in values))
+    joined = done.join(F.broadcast(ahead), ["_part", *keys], "left")  # at most two rows a part
+    sums = {n: F.coalesce(f"_a_{n}", F.lit(0)) + F.col(f"_w_{n}") for n in values}
+    return joined.select(*[c for c in df.columns if c not in values], *[c.alias(n) for n, c in sums.items()])
 
 
-def time_bucket(ts: Column, low: int, high: int, buckets: int) -> Column:
-    """Which of so many equal spans of [low, high] a time lies in; never falls as the time rises."""
-    width = max(1, (high - low) // buckets + 1)
-    return F.least(F.greatest(F.floor((ts - low) / width), F.lit(0)), F.lit(buckets)).cast("int")
+def ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with the 1-based rank of each row among its keys."""
+    return running(df, keys, order, {name: F.lit(1)})

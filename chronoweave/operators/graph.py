@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import prefix
 from chronoweave.schema import EDGE_SCHEMA
+from chronoweave.session import cut
 
-VERTICES_OF_BUCKET = 65_536
 MAX_RELATION = 65_535
-TIME_BUCKETS = 16
 
 
 def create_graph(spark: SparkSession, max_vertices: int) -> DataFrame:
@@ -40,16 +39,9 @@ def append_edges(edges: DataFrame, path: str, max_vertices: int, weights: bool =
     spread.sortWithinPartitions("src", "ts", "seq").write.mode("append").parquet(path)
 
 
-def bounds(edges: DataFrame) -> tuple[int, int]:
-    """Least and greatest time: one aggregate of two numbers."""
-    r = edges.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    return (r.a, r.b) if r.a is not None else (0, 0)
-
-
-def runs(edges: DataFrame, buckets: int = TIME_BUCKETS) -> DataFrame:
+def runs(edges: DataFrame) -> DataFrame:
     """Edges with idx, the 1-based place in their source's run."""
-    low, high = bounds(edges)
-    return prefix.ranks(edges, ["src"], prefix.time_bucket(F.col("ts"), low, high, buckets), ["ts", "seq"], "idx")
+    return prefix.ranks(edges, ["src"], ["ts", "seq"], "idx")
 
 
 def neighbours(edges: DataFrame, vertex: int) -> DataFrame:
@@ -65,8 +57,7 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def offsets(degree: DataFrame) -> DataFrame:
     """(vertex, degree, start): the exclusive running sum of degrees in order of the vertices."""
-    bucket = F.floor(F.col("vertex") / VERTICES_OF_BUCKET)
-    summed = prefix.running(degree, [], bucket, ["vertex"], {"upto": F.col("degree")})
+    summed = prefix.running(degree, [], ["vertex"], {"upto": F.col("degree")})
     return summed.select("vertex", "degree", (F.col("upto") - F.col("degree")).alias("start"))
 
 
@@ -93,9 +84,10 @@ def coo(edges: DataFrame) -> DataFrame:
 
 def disordered(edges: DataFrame, arrival: str = "seq") -> DataFrame:
     """(src, n_breaks): the runs in which an edge is older than one that arrived before it."""
-    w = Window.partitionBy("src").orderBy(arrival)
-    steps = edges.select("src", (F.lag("ts").over(w) > F.col("ts")).alias("falls"))
-    return steps.where("falls").groupBy("src").agg(F.count(F.lit(1)).alias("n_breaks"))
+    # places by arrival, then each edge meets the one before by its place: no task holds a whole hub
+    placed = cut(prefix.ranks(edges.select("src", "ts", arrival), ["src"], [arrival], "place").select("src", "place", "ts"))
+    before = placed.select("src", (F.col("place") + 1).alias("place"), F.col("ts").alias("ts_before"))
+    return placed.join(before, ["src", "place"]).where("ts_before > ts").groupBy("src").agg(F.count(F.lit(1)).alias("n_breaks"))
 
 
 def counters(edges: DataFrame, cutoff: int) -> DataFrame:
@@ -134,8 +126,6 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     Each round takes the least label of the neighbours and then of the label itself, so
     that paths shorten by doubling; each round's labels go to the shared checkpoint folder.
     """
-    from chronoweave.session import cut
-
     both = cut(pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.col("vertex")).alias("component")))
     for _ in range(rounds):

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import prefix
 
-POSITIONS_OF_BUCKET = 100_000
 #: Texts that stand for no name.
 NO_NAMES = ("", "NAN", "NONE")
 
@@ -24,7 +23,7 @@ def normalize_name(name: Column) -> Column:
 def dense_ids(names: DataFrame, name: str = "name", position: str = "position") -> DataFrame:
     """(name, id): 0-based ids by the least position of each name; positions are whole numbers that differ between names."""
     first = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(position).alias("position"))
-    ranked = prefix.ranks(first, [], F.floor(F.col("position") / POSITIONS_OF_BUCKET), ["position"], "r")
+    ranked = prefix.ranks(first, [], ["position"], "r")
     return ranked.select("name", (F.col("r") - 1).alias("id"))
 
 

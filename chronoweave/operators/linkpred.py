@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import prefix
 from chronoweave.functions.portable import hash_int
-from chronoweave.operators.graph import TIME_BUCKETS, bounds, undirected
+from chronoweave.operators.graph import undirected
 
 
-def placed(edges: DataFrame, buckets: int = TIME_BUCKETS) -> DataFrame:
-    """Edges with pos, their 0-based place in time (then seq)."""
-    low, high = bounds(edges)
-    return prefix.ranks(edges, [], prefix.time_bucket(F.col("ts"), low, high, buckets), ["ts", "seq"], "pos").withColumn("pos", F.col("pos") - 1)
+#: Tasks over which the neighbours of one vertex are spread.
+SALTS = 8
+
+
+def placed(edges: DataFrame) -> DataFrame:
+    """Edges with pos, their 0-based place in time (then seq); they are written once, so that counts and splits read places."""
+    return prefix.ranks(edges, [], ["ts", "seq"], "pos").withColumn("pos", F.col("pos") - 1)
 
 
 def chronological_split(edges: DataFrame, train: float = 0.70, valid: float = 0.85) -> DataFrame:
     """Edges with pos and part: train, valid or test by place in time."""
-    n = edges.count()
+    at = placed(edges)
+    n = at.count()
     a, b = int(n * train), int(n * valid)
-    return placed(edges).withColumn("part", F.when(F.col("pos") < a, "train").when(F.col("pos") < b, "valid").otherwise("test"))
+    return at.withColumn("part", F.when(F.col("pos") < a, "train").when(F.col("pos") < b, "valid").otherwise("test"))
 
 
 def evenly(rows: DataFrame, n: int, take: int, pos: str = "pos") -> DataFrame:
@@ -84,10 +88,15 @@ def shared_neighbours(pairs: DataFrame, adjacency: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("common"), F.sum(1 / F.log(F.col("k") + 2)).alias("adamic_adar"))
 
 
-def common_neighbour_pairs(adjacency: DataFrame) -> DataFrame:
-    """(src, dst, common) of all pairs src < dst with a common neighbour; adjacency: distinct (a, b) in both directions."""
-    left, right = adjacency.select(F.col("a").alias("src"), F.col("b").alias("via")), adjacency.select(F.col("a").alias("dst"), F.col("b").alias("via"))
-    return left.join(right, "via").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("common"))
+def common_neighbours(asked: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """(src, dst, common): the vertices that share a neighbour with each asked vertex (src); adjacency: distinct (a, b) in both directions.
+
+    The walk begins at those that ask, so that a hub is expanded for its asking neighbours only, and its
+    neighbours are spread over SALTS tasks.
+    """
+    left = asked.join(adjacency.select(F.col("a").alias("src"), F.col("b").alias("via")), "src").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = adjacency.select(F.col("a").alias("dst"), F.col("b").alias("via"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
+    return left.join(right, ["via", "salt"]).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("common"))
 
 
 def neighbourhood_scores(pairs: DataFrame, train: DataFrame) -> DataFrame:
@@ -111,7 +120,9 @@ def bipartite_adamic_adar(pairs: DataFrame, train: DataFrame) -> DataFrame:
     step = train.select("src", "dst").distinct()
     size = step.groupBy(F.col("src").alias("peer")).agg(F.count(F.lit(1)).alias("k"))
     asked = pairs.select("src", "dst").distinct()
-    peers = step.select("src", F.col("dst").alias("via")).join(step.select(F.col("src").alias("peer"), F.col("dst").alias("via")), "via").select("src", "peer").distinct()
+    # peers are sought only for the sources that ask
+    asking = step.join(asked.select("src").distinct(), "src", "left_semi").select("src", F.col("dst").alias("via"))
+    peers = asking.join(step.select(F.col("src").alias("peer"), F.col("dst").alias("via")), "via").select("src", "peer").distinct()
     linked = asked.join(step.select(F.col("src").alias("peer"), "dst"), "dst")
     met = linked.join(peers, ["src", "peer"]).join(size, "peer")
     return met.groupBy("src", "dst").agg(F.sum(1 / F.log(F.col("k") + 2)).alias("score"), F.count(F.lit(1)).alias("overlap"))
@@ -136,7 +147,7 @@ def ensemble_sweep(scored: DataFrame, logit: str, extra: str, label: str, lambda
 def permuted_times(edges: DataFrame, seed: int = 0) -> DataFrame:
     """placed edges whose times are dealt anew: the row at place i gets the time at the place that hash order gives i."""
     dealt = edges.withColumn("_h", hash_int(F.lit(seed), F.col("pos")))
-    order = prefix.ranks(dealt, [], F.floor(F.col("_h") / (2**32 // 64)), ["_h", "pos"], "_r").select((F.col("_r") - 1).alias("pos"), F.col("ts").alias("new_ts"))
+    order = prefix.ranks(dealt, [], ["_h", "pos"], "_r").select((F.col("_r") - 1).alias("pos"), F.col("ts").alias("new_ts"))
     return edges.join(order, "pos").withColumn("ts", F.col("new_ts")).drop("new_ts")
 
 

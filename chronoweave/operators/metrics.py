@@ -9,26 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.functions import prefix
+
 
 def roc_auc(scored: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, auc): ties count half; null where one class is missing."""
     by = [*keys]
-    per = scored.groupBy(*by, score).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("n"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = per.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    area = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
-    return below.groupBy(*by).agg(F.try_divide(area, F.sum("p").cast("double") * F.sum("n")).alias("auc"))
+    good = F.col(label) > 0
+    per = scored.groupBy(*by, score).agg(F.sum(F.when(good, 1).otherwise(0)).alias("p"), F.sum(F.when(good, 0).otherwise(1)).alias("n"))
+    # the negatives at and below each score, in parts by range
+    upto = prefix.running(per.withColumn("_n", F.col("n")), by, [score], {"_n": F.col("n")})
+    area = F.sum(F.col("p") * (F.col("_n") - F.col("n") / 2))
+    return upto.groupBy(*by).agg(F.try_divide(area, F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 
 def average_precision(scored: DataFrame, score: str, label: str, tie: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, ap): mean precision at the positives in order of falling score, ties in order of the tie column."""
     by = [*keys]
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = scored.withColumn("hits", F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).over(w)).withColumn("place", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col(label) > 0).groupBy(*by).agg(F.avg(F.col("hits") / F.col("place")).alias("ap"))
+    hit = F.when(F.col(label) > 0, 1).otherwise(0)
+    falling = scored.select(*by, (-F.col(score)).alias("_falling"), F.col(tie).alias("_tie"), hit.alias("_hit"))
+    ranked = prefix.running(falling, by, ["_falling", "_tie"], {"hits": F.col("_hit"), "place": F.lit(1)})
+    return ranked.where("_hit = 1").groupBy(*by).agg(F.avg(F.col("hits") / F.col("place")).alias("ap"))
 
 
 def against_negatives(positives: DataFrame, negatives: DataFrame, query: str, score: str) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.session import checked_broadcast
+
 TRADING_DAYS = 252
 
 
@@ -86,13 +88,13 @@ def tradable(prices: DataFrame, low: float, high: float, jump: float) -> DataFra
 
 def instruments(signals: DataFrame, universe: DataFrame) -> DataFrame:
     """(date, ticker, signal): countries mapped to instruments, the mean where several share one; universe: (country, ticker)."""
-    return signals.join(F.broadcast(universe), "country").groupBy("date", "ticker").agg(F.avg("signal").alias("signal"))
+    return signals.join(checked_broadcast(universe), "country").groupBy("date", "ticker").agg(F.avg("signal").alias("signal"))
 
 
 def weights(signals: DataFrame, prices: DataFrame, c: BacktestConfig) -> DataFrame:
     """(date, ticker, ret, weight): trailing-demeaned, standardised across names, clipped, neutral, scaled and capped weights."""
     names = signals.select("ticker").distinct()
-    g = price_grid(prices.join(F.broadcast(names), "ticker", "left_semi")).join(signals, ["date", "ticker"], "left")
+    g = price_grid(prices.join(checked_broadcast(names), "ticker", "left_semi")).join(signals, ["date", "ticker"], "left")
     g = g.withColumn("s", F.when(F.col("close").isNotNull(), F.col("signal")))
     past = Window.partitionBy("ticker").orderBy("date").rowsBetween(-c.window, -1)
     g = g.withColumn("s", F.when(F.count("s").over(past) >= c.min_periods, F.col("s") - F.avg("s").over(past)))

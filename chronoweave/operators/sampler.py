@@ -3,7 +3,7 @@
 Queries (qid, node, t) and edges go through one running count per node in order of time,
 a query before edges of its own instant; the count is the query's cut, and the rows of a
 sample are then an equi-join on (node, place in the run). No range join occurs, and runs
-are counted in time buckets, so that a hub isn't one task.
+are counted in parts by range (functions/prefix.py), so that a hub isn't one task.
 """
 
 from __future__ import annotations
@@ -13,24 +13,32 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import prefix
 from chronoweave.functions.portable import uniform
-from chronoweave.operators.graph import TIME_BUCKETS, bounds, runs
 
 NEVER = 1e7
 
 
-def cuts(edges: DataFrame, queries: DataFrame, buckets: int = TIME_BUCKETS) -> DataFrame:
+def cuts_and_runs(edges: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, node, t, cut), how many edges of the node are strictly before t, and (node, idx, edge), the place of each edge in its run: one pass for both, written once."""
+    shown = ["dst", "ts", "relation", "weight"]
+    stream = edges.select(
+        F.col("src").alias("node"), F.col("ts").alias("at"), F.lit(1).alias("is_edge"), F.lit(None).cast("bigint").alias("qid"), "seq", F.struct(*shown).alias("edge")
+    ).unionByName(queries.select("node", F.col("t").alias("at"), F.lit(0).alias("is_edge"), F.col("qid").cast("bigint").alias("qid")), allowMissingColumns=True)
+    counted = prefix.running(stream, ["node"], ["at", "is_edge", "seq", "qid"], {"cut": F.col("is_edge")})
+    return counted.where("is_edge = 0").select("qid", "node", F.col("at").alias("t"), "cut"), counted.where("is_edge = 1").select("node", F.col("cut").alias("idx"), "edge")
+
+
+def cuts(edges: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, node, t, cut): how many edges of the node are strictly before t."""
-    low, high = bounds(edges)
-    stream = edges.select(F.col("src").alias("node"), F.col("ts").alias("at"), F.lit(1).alias("is_edge"), F.lit(None).cast("bigint").alias("qid")).unionByName(
-        queries.select("node", F.col("t").alias("at"), F.lit(0).alias("is_edge"), F.col("qid").cast("bigint").alias("qid"))
+    stream = edges.select(F.col("src").alias("node"), F.col("ts").alias("at"), F.lit(1).alias("is_edge"), F.lit(None).cast("bigint").alias("qid"), "seq").unionByName(
+        queries.select("node", F.col("t").alias("at"), F.lit(0).alias("is_edge"), F.col("qid").cast("bigint").alias("qid")), allowMissingColumns=True
     )
-    counted = prefix.running(stream, ["node"], prefix.time_bucket(F.col("at"), low, high, buckets), ["at", "is_edge"], {"cut": F.col("is_edge")})
+    counted = prefix.running(stream, ["node"], ["at", "is_edge", "seq", "qid"], {"cut": F.col("is_edge")})
     return counted.where("is_edge = 0").select("qid", "node", F.col("at").alias("t"), "cut")
 
 
-def _rows(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+def _rows(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (qid, node, t, slot, idx) joined with the runs."""
-    r = runs(edges).select(F.col("src").alias("node"), "idx", F.col("dst").alias("neighbour"), F.col("ts").alias("neighbour_ts"), "relation", "weight")
+    r = runs.select("node", "idx", F.col("edge.dst").alias("neighbour"), F.col("edge.ts").alias("neighbour_ts"), "edge.relation", "edge.weight")
     return wanted.join(r, ["node", "idx"]).drop("idx")
 
 
@@ -39,9 +47,9 @@ def sample_recent(edges: DataFrame, queries: DataFrame, k: int, keep_empty: bool
 
     keep_empty adds a row with a null slot for queries without history.
     """
-    cut = cuts(edges, queries)
+    cut, runs = cuts_and_runs(edges, queries)
     some = cut.where("cut > 0").select("qid", "node", "t", "cut", F.explode(F.sequence(F.greatest(F.col("cut") - k + 1, F.lit(1)), F.col("cut"))).alias("idx"))
-    out = _rows(edges, some.select("qid", "node", "t", "idx", (F.col("idx") - F.col("cut") + k - 1).cast("int").alias("slot")))
+    out = _rows(runs, some.select("qid", "node", "t", "idx", (F.col("idx") - F.col("cut") + k - 1).cast("int").alias("slot")))
     if not keep_empty:
         return out
     return out.unionByName(cut.where("cut = 0").select("qid", "node", "t"), allowMissingColumns=True)
@@ -49,16 +57,16 @@ def sample_recent(edges: DataFrame, queries: DataFrame, k: int, keep_empty: bool
 
 def sample_uniform(edges: DataFrame, queries: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k draws with replacement over the whole history before t."""
-    cut = cuts(edges, queries).where("cut > 0")
-    slots = cut.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    cut, runs = cuts_and_runs(edges, queries)
+    slots = cut.where("cut > 0").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     u = uniform(F.lit(seed), F.col("qid"), F.col("slot"))
-    return _rows(edges, slots.select("qid", "node", "t", "slot", (F.lit(1) + F.floor(u * F.col("cut"))).alias("idx")))
+    return _rows(runs, slots.select("qid", "node", "t", "slot", (F.lit(1) + F.floor(u * F.col("cut"))).alias("idx")))
 
 
 def recency_features(edges: DataFrame, queries: DataFrame, k: int, second: float = 1.0) -> DataFrame:
     """(qid, node, t, f_count, f_since, f_span, f_rate): four numbers on how much and how lately a node was active; second: time units per second."""
-    cut = cuts(edges, queries)
-    r = runs(edges).select(F.col("src").alias("node"), "idx", "ts")
+    cut, runs = cuts_and_runs(edges, queries)
+    r = runs.select("node", "idx", F.col("edge.ts").alias("ts"))
     last = r.select("node", F.col("idx").alias("cut"), F.col("ts").alias("last_ts"))
     kth = r.select("node", F.col("idx").alias("kth"), F.col("ts").alias("kth_ts"))
     at = cut.withColumn("kth", F.greatest(F.col("cut") - k + 1, F.lit(1)))

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.functions import prefix
 from chronoweave.functions.portable import hash_int
+from chronoweave.session import checked_broadcast
 
 
 def abnormal(grid: DataFrame) -> DataFrame:
@@ -67,14 +69,21 @@ def neighbour_events(events: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 
 def placebo(events: DataFrame, neighbours: DataFrame, names: DataFrame, near: DataFrame, seed: int = 0) -> DataFrame:
-    """As many tickers per event as it has neighbours in `near`, in hash order, among those that are neither neighbours nor the event's own."""
+    """As many tickers per event as it has neighbours in `near`, drawn by hash, among those that are neither neighbours nor the event's own and have no event on the day.
+
+    Each event draws 8 places per wanted ticker and 16 more in the list of names and keeps the first that serve, so
+    that an event meets its draws only and never all names; one whose names nearly all are taken may get fewer.
+    """
+    listed = prefix.ranks(names.select("ticker").distinct(), [], ["ticker"], "place").withColumn("place", F.col("place") - 1)
+    n = listed.count()
     count = near.groupBy("date", "of").agg(F.count(F.lit(1)).alias("want"), F.first("sign").alias("sign"))
-    pool = count.withColumn("k", F.lit(1)).join(F.broadcast(names.select(F.col("ticker"), F.lit(1).alias("k"))), "k")  # names: the instruments of the universe
-    free = pool.where("ticker <> of").join(neighbours.select(F.col("ticker").alias("of"), F.col("neighbour").alias("ticker")), ["of", "ticker"], "left_anti")
+    draws = count.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), 8 * F.col("want") + 15)))
+    drawn = draws.withColumn("place", F.pmod(hash_int(F.lit(seed), F.col("date"), F.col("of"), F.col("slot")), F.lit(max(n, 1)))).join(checked_broadcast(listed), "place")
+    free = drawn.where("ticker <> of").join(neighbours.select(F.col("ticker").alias("of"), F.col("neighbour").alias("ticker")), ["of", "ticker"], "left_anti")
     free = free.join(events.select("date", "ticker").distinct(), ["date", "ticker"], "left_anti")
-    h = hash_int(F.lit(seed), F.col("date"), F.col("of"), F.col("ticker"))
-    w = Window.partitionBy("date", "of").orderBy(h, "ticker")
-    return free.withColumn("r", F.row_number().over(w)).where("r <= want").select("date", "ticker", "sign", "of")
+    once = free.groupBy("date", "of", "ticker").agg(F.min("slot").alias("slot"), F.first("want").alias("want"), F.first("sign").alias("sign"))
+    w = Window.partitionBy("date", "of").orderBy("slot")
+    return once.withColumn("r", F.row_number().over(w)).where("r <= want").select("date", "ticker", "sign", "of")
 
 
 def shocks(abn: DataFrame, quantile: float) -> DataFrame:

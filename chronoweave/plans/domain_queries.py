@@ -38,26 +38,24 @@ def dense_ids(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "map_edges_to_ids",
     _NAMES + f"""
-select e.rec_id, coalesce(case when a.id < 400 then a.id end, -1) as src_id, coalesce(case when b.id < 400 then b.id end, -1) as dst_id
+select e.rec_id, coalesce(a.id, -1) as src_id, coalesce(b.id, -1) as dst_id
 from e left join ids a on a.name = {_NORM.format('e.src')} left join ids b on b.name = {_NORM.format('e.dst')}""",
 )
 def map_edges_to_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Both ends as ids; -1 is no name alone."""
     rows = _corpus(spark, d)
     known = checked_broadcast(ids.dense_ids(ids.edge_names(rows, "rec_id")))
-    return ids.with_ids(ids.with_ids(rows, known, "src", "src_id", 400), known, "dst", "dst_id", 400).select("rec_id", "src_id", "dst_id")
+    return ids.with_ids(ids.with_ids(rows, known, "src", "src_id"), known, "dst", "dst_id").select("rec_id", "src_id", "dst_id")
 
 
-@query(
-    "map_edges_to_ids_all",
-    _NAMES + f"""
-select e.rec_id, coalesce(a.id, -1) as src_id, coalesce(b.id, -1) as dst_id
-from e left join ids a on a.name = {_NORM.format('e.src')} left join ids b on b.name = {_NORM.format('e.dst')}""",
-)
-def map_edges_to_ids_all(spark: SparkSession, d: str) -> DataFrame:
-    """Both ends as ids without a cap; -1 is no name alone. map_edges_to_ids caps at 400."""
+@query("id_overflow", _NAMES + f"select count(*) filter (where a.id >= 400 or b.id >= 400) as edges_over, count(*) filter (where a.id >= 400) + count(*) filter (where b.id >= 400) as ends_over from e left join ids a on a.name = {_NORM.format('e.src')} left join ids b on b.name = {_NORM.format('e.dst')}")
+def id_overflow(spark: SparkSession, d: str) -> DataFrame:
+    """How many edges and ends a bound of 400 ids would leave without one."""
     rows = _corpus(spark, d)
     known = checked_broadcast(ids.dense_ids(ids.edge_names(rows, "rec_id")))
-    return ids.with_ids(ids.with_ids(rows, known, "src", "src_id"), known, "dst", "dst_id").select("rec_id", "src_id", "dst_id")
+    mapped = ids.with_ids(ids.with_ids(rows, known, "src", "src_id"), known, "dst", "dst_id")
+    over = [(F.col(c) >= 400).cast("int") for c in ("src_id", "dst_id")]
+    return mapped.agg(F.sum(F.greatest(*over)).alias("edges_over"), F.sum(over[0] + over[1]).alias("ends_over"))
 
 
 _CODE = "case when length(trim({0})) = 3 then upper(trim({0})) end"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.operators import panels, studies
@@ -207,10 +207,14 @@ _NEAR = """
 , nb as (select a.n_name as ticker, b.n_name as neighbour from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_name <> b.n_name)
 , ne as (select s.date, nb.neighbour as ticker, s.sign, s.ticker as "of" from sh s join nb using (ticker) where not exists (select 1 from sh x where x.date = s.date and x.ticker = nb.neighbour))
 , want as (select date, "of", count(*) as want, any_value(sign) as sign from ne group by all)
-, pl as (select date, ticker, sign from (
-    select w.date, t.n_name as ticker, w.sign, w.want, row_number() over (partition by w.date, w."of" order by ('0x' || substr(md5('0:' || w.date || ':' || w."of" || ':' || t.n_name), 1, 8))::bigint, t.n_name) as r
-    from want w, nation t where t.n_name <> w."of" and not exists (select 1 from nb where nb.ticker = w."of" and nb.neighbour = t.n_name)
-      and not exists (select 1 from sh x where x.date = w.date and x.ticker = t.n_name)) where r <= want)"""
+, dr as (
+    select w.*, ('0x' || substr(md5('0:' || w.date || ':' || w."of" || ':' || w.slot), 1, 8))::bigint % c.n as place
+    from (select *, unnest(range(8 * want + 16)) as slot from want) w, (select count(*) as n from nation) c)
+, fr as (
+    select d.date, d."of", t.ticker, d.sign, d.want, min(d.slot) as slot
+    from dr d join (select n_name as ticker, row_number() over (order by n_name) - 1 as place from nation) t using (place)
+    where t.ticker <> d."of" and not exists (select 1 from nb where nb.ticker = d."of" and nb.neighbour = t.ticker) and not exists (select 1 from sh x where x.date = d.date and x.ticker = t.ticker) group by all)
+, pl as (select date, ticker, sign from (select *, row_number() over (partition by date, "of" order by slot) as r from fr) where r <= want)"""
 _DIFF = _CAR + _SHOCK + _NEAR + _RESPONSE.format(n="tr", ev="ne") + _RESPONSE.format(n="co", ev="pl") + """
 , df as (select horizon, tr.mean - co.mean as mean, least(tr.n, co.n) as n, sqrt(coalesce(tr.se, 0) ** 2 + coalesce(co.se, 0) ** 2) as se, least(tr.clusters, co.clusters) as clusters from tr join co using (horizon))"""
 
@@ -240,19 +244,10 @@ def lead_lag(spark: SparkSession, d: str) -> DataFrame:
     return studies.lead_lag(events, car, (-5, -1, 0, 1, 5), 3).withColumn("mean", F.round("mean", 6))
 
 
-@query("synthetic_close", f"with {PRICES}, {_GRID} select date, ticker, round(product(1 + coalesce(ret, 0)) over (partition by ticker order by date rows unbounded preceding), 4) as close from pg where date < date '1996-01-01'")
+@query("synthetic_close", f"with {PRICES}, {_GRID} select date, ticker, round(c, 1) as close, round(ln(c), 4) as log_close from (select date, ticker, product(1 + coalesce(ret, 0)) over (partition by ticker order by date rows unbounded preceding) as c from pg)")
 def synthetic_close(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    g = panels.price_grid(prices(spark, d))  # cut as its SQL is; synthetic_close_all has the whole calendar
-    return g.where("date < date '1996-01-01'").select("date", "ticker", F.round(F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w), 4).alias("close"))
-
-
-@query("synthetic_close_all")
-def synthetic_close_all(spark: SparkSession, d: str) -> DataFrame:
-    """The close compounded over the whole calendar, unrounded; without SQL, since the order of the products moves the last digits."""
-    from pyspark.sql import Window
-
+    """The close compounded over the whole calendar from the daily returns, and its logarithm; the order of the products moves the last digits only."""
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return panels.price_grid(prices(spark, d)).select("date", "ticker", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w).alias("close"))
+    return panels.price_grid(prices(spark, d)).select(
+        "date", "ticker", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w).alias("c")
+    ).select("date", "ticker", F.round("c", 1).alias("close"), F.round(F.ln("c"), 4).alias("log_close"))

@@ -32,11 +32,13 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's own setting, or a local one where none is set."""
+    """The shared folder for cut lineage: the session's own setting; only a session in one local JVM may go without, on a cluster that is an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     java = spark.sparkContext._jsc.sc().getCheckpointDir()
     if java.isDefined():
         return java.get()
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = conf or os.path.join(tempfile.gettempdir(), "chronoweave-checkpoints")
     spark.sparkContext.setCheckpointDir(path)
     return path
