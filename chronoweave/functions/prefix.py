@@ -1,10 +1,12 @@
 """Running sums and ranks that no task makes alone for a whole hot key or a whole table.
 
-The rows are range-partitioned by keys and order (bounds sampled from the data, parts by
-its size) and sorted; every part is summed in one pass, in Arrow batches, and written to
-the shared folder, so that all that follows sees the same parts. A key that goes on from
-part to part stands first or last in each: only these keys' totals, at most two a part,
-are summed over parts and added to the rows by a broadcast of that bound.
+Runs of keys that fit in a task are summed by a window. The rows of hot keys, and of a
+table without keys, are range-partitioned by keys and order (bounds sampled from the
+data, parts by its size) and sorted; every part is summed in one pass, in Arrow batches.
+What goes on from part to part stands first or last in each: only these keys' totals, at
+most two a part, are summed over parts and added to the rows by a broadcast of that
+bound. Both ways give the same sums. The result is written to the shared folder, so that
+all that follows sees the same parts and nothing is summed twice.
 """
 
 from __future__ import annotations
@@ -20,21 +22,36 @@ from pyspark.sql.types import LongType, StructType
 
 from chronoweave.session import cut
 
-#: Bytes of the input files for which there is a part.
-PART_BYTES = 256 << 20
+#: Bytes of the input files for which there is a part; rows from which a key is hot.
+PART_BYTES, HOT_ROWS = 256 << 20, 5_000_000
 
 
-def parts_of(df: DataFrame) -> int:
-    """Parts by the size of the files that df reads and the parts of what was written before, at least the session's number of shuffle partitions."""
+def _leaves(df: DataFrame) -> tuple[int, int]:
+    """(bytes of the files and local rows that df reads, most parts of what was written before, whose bytes aren't known)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    least, most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0
+    size = written = 0
     for i in range(leaves.size()):
         leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() == "LogicalRDD":  # its size isn't known, its parts are
-            most = max(most, leaf.rdd().getNumPartitions())
-        elif leaf.getClass().getSimpleName() == "LogicalRelation":
-            least = max(least, -(-int(str(leaf.stats().sizeInBytes())) // PART_BYTES))
-    return max(least, most)
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            written = max(written, leaf.rdd().getNumPartitions())
+        else:
+            size += int(str(leaf.stats().sizeInBytes()))
+    return size, written
+
+
+def parts_of(df: DataFrame) -> int:
+    """Parts by the size of what df reads, at least the session's number of shuffle partitions."""
+    size, written = _leaves(df)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), written, -(-size // PART_BYTES))
+
+
+def _hot(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The keys of more than HOT_ROWS rows, at most a row for each HOT_ROWS; None if all that df reads is a task's share."""
+    size, written = _leaves(df)
+    if size <= PART_BYTES and not written:
+        return None
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(*keys).collect()
+    return df.sparkSession.createDataFrame(hot, df.select(*keys).schema) if hot else None
 
 
 def _summed(keys: Sequence[str], values: Sequence[str]):
@@ -80,8 +97,25 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: di
     """
     known = df.where(" and ".join(f"`{k}` is not null" for k in keys)) if keys else df
     given = known.withColumns({n: F.coalesce(v.cast("bigint"), F.lit(0)) for n, v in values.items()})
+    shown = [c for c in df.columns if c not in values]
+    if not keys:
+        return _by_range(given, keys, order, values).select(*shown, *values)
+    hot = _hot(given, keys)
+    if hot is None:
+        return cut(_by_window(given, keys, order, values).select(*shown, *values))
+    few = F.broadcast(hot)
+    cold = _by_window(given.join(few, [*keys], "left_anti"), keys, order, values).select(*shown, *values)
+    return cut(cold).unionByName(_by_range(given.join(few, [*keys], "left_semi"), keys, order, values).select(*shown, *values))
+
+
+def _by_window(given: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return given.withColumns({n: F.sum(n).over(w) for n in values})
+
+
+def _by_range(given: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
     sort = [*keys, *order]
-    ranged = given.repartitionByRange(parts_of(df), *sort).sortWithinPartitions(*sort).withColumn("_part", F.spark_partition_id())
+    ranged = given.repartitionByRange(parts_of(given), *sort).sortWithinPartitions(*sort).withColumn("_part", F.spark_partition_id())
     schema = StructType([f for f in ranged.schema.fields if f.name not in values])
     for n in values:
         schema = schema.add(f"_w_{n}", LongType())
@@ -101,7 +135,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: di
     ahead = ahead.where(" or ".join(f"_a_{n} > 0" for n in values))
     joined = done.join(F.broadcast(ahead), ["_part", *keys], "left")  # at most two rows a part
     sums = {n: F.coalesce(f"_a_{n}", F.lit(0)) + F.col(f"_w_{n}") for n in values}
-    return joined.select(*[c for c in df.columns if c not in values], *[c.alias(n) for n, c in sums.items()])
+    return joined.withColumns(sums)
 
 
 def ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

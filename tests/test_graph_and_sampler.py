@@ -36,11 +36,16 @@ def test_future_edges_change_nothing(spark):
     assert f(edges) == f(edges.where("ts < 30"))
 
 
-def test_no_dependence_on_buckets(spark):
+def test_no_dependence_on_parts(spark, monkeypatch):
+    from chronoweave.functions import prefix
+
     _, edges = make(spark, seed=4)
     q = edges.select(F.col("seq").alias("qid"), F.col("src").alias("node"), F.col("ts").alias("t"))
-    a, b = (sorted(map(tuple, sampler.cuts(edges, q, n).collect())) for n in (1, 40))
-    assert a == b
+    one = sorted(map(tuple, sampler.cuts(edges, q).collect()))
+    monkeypatch.setattr(prefix, "PART_BYTES", 1)
+    monkeypatch.setattr(prefix, "HOT_ROWS", 1)
+    monkeypatch.setattr(prefix, "parts_of", lambda df: 9)
+    assert sorted(map(tuple, sampler.cuts(edges, q).collect())) == one
 
 
 def test_expiry_of_prefixes(spark):
@@ -130,3 +135,25 @@ def test_predictor_learns():
 def test_half_life(spark):
     f = lambda *c: studies.half_life(spark.createDataFrame([(h, m) for h, m in c], "horizon int, mean double")).first()[0]
     assert f((1, 0.0), (3, 4.0), (5, 4.0)) == 2.0 and f((1, 3.0), (2, 4.0)) == 0.0 and f((1, -1.0)) is None
+
+
+@pytest.mark.parametrize("hot", [None, 3, 10**9])
+def test_running_sums_of_hot_keys(spark, monkeypatch, hot):
+    """By window, by range for hot keys only, and by window after a count: the same sums."""
+    from chronoweave.functions import prefix
+
+    if hot is not None:
+        monkeypatch.setattr(prefix, "PART_BYTES", 1)
+        monkeypatch.setattr(prefix, "HOT_ROWS", hot)
+        monkeypatch.setattr(prefix, "parts_of", lambda df: 7)
+    g = random.Random(4)
+    rows = [(g.choice(["a"] * 6 + ["b", "c", None]), g.randrange(5), i, g.randrange(3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v int")
+    want, at = {}, {}
+    for k, t, i, v in sorted((r for r in rows if r[0]), key=lambda r: r[:3]):
+        at[k] = at.get(k, 0) + v
+        want[i] = at[k]
+    assert {r.i: r.s for r in prefix.running(df, ["k"], ["t", "i"], {"s": F.col("v")}).collect()} == want
+    placed = {r.i: r.p for r in prefix.ranks(df, [], ["t", "i"], "p").collect()}
+    assert [i for i, _ in sorted(placed.items(), key=lambda x: x[1])] == [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))] and sorted(placed.values()) == list(range(1, 121))
+    assert prefix.running(df.limit(0), ["k"], ["t"], {"s": F.col("v")}).count() == 0 and prefix.ranks(df.limit(0), [], ["t"], "p").count() == 0
