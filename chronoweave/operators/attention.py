@@ -1,9 +1,9 @@
-"""Temporal attention over causal samples: time encoding, masked attention, scores and a stand-alone predictor.
+"""Temporal attention over causal samples: time encoding, masked attention and link scores by a fitted predictor.
 
 The encoding and the fixed-weight pooling are column expressions; learned layers run as
 NumPy over Arrow batches, on distinct (node, time) questions, so that shared ones are
-computed once. Their weights are random and not trained: only the stand-alone predictor
-is fitted, by Adam on the driver; weights are small and go to the tasks with the function.
+computed once. Their weights are random and not trained: only the link predictor on top
+is fitted, by Adam on a bounded sample of links; weights go to the tasks with the function.
 """
 
 from __future__ import annotations
@@ -92,7 +92,10 @@ class Tgat:
         return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5)
 
     def link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (np.maximum(np.concatenate([a, b], -1) @ self.params["s1"], 0) @ self.params["s2"])[:, 0]
+        x = np.concatenate([a, b], -1)
+        if "w1" in self.params:  # a fitted predictor; it also sees where the two sides agree
+            return predict(self.params, np.concatenate([x, a * b], -1))
+        return (np.maximum(x @ self.params["s1"], 0) @ self.params["s2"])[:, 0]
 
 
 def embed(edges: DataFrame, queries: DataFrame, features: DataFrame, model: Tgat, k: int, unit: float = 1.0, layers: int = 1) -> DataFrame:
@@ -148,6 +151,25 @@ def score(pairs: DataFrame, embedded: DataFrame, model: Tgat) -> DataFrame:
     return j.mapInPandas(run, StructType(keep).add("logit", DoubleType()))
 
 
+def fit_links(pairs: DataFrame, embedded: DataFrame, model: Tgat, most: int = TRAINING_LINKS, seed: int = 0) -> Tgat:
+    """The model with its link predictor fitted on about `most` of the pairs (src, dst, t), chosen by hash.
+
+    The layers below stay as they are; each chosen pair has one negative, its src with the dst of another chosen pair.
+    """
+    share = min(1.0, most / max(1, pairs.count()))
+    chosen = pairs.where(F.pmod(F.xxhash64("src", "dst", "t", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).select("src", "dst", "t").limit(2 * most)
+    a = embedded.withColumnsRenamed({"node": "src", "embedding": "_a"})
+    b = embedded.withColumnsRenamed({"node": "dst", "embedding": "_b"})
+    rows = chosen.join(a, ["src", "t"]).join(b, ["dst", "t"]).toPandas().sort_values(["src", "dst", "t"])
+    if len(rows) < 2:
+        return model
+    left, right = np.stack(rows["_a"].to_list()), np.stack(rows["_b"].to_list())
+    other = right[np.random.default_rng(seed).permutation(len(rows))]
+    x = np.concatenate([np.concatenate([left, y, left * y], 1) for y in (right, other)])
+    fitted = fit_predictor(x, np.repeat([1.0, 0.0], len(rows)), seed=seed)
+    return Tgat(model.node_dim, model.time_dim, model.relations, model.heads, model.params | fitted)
+
+
 def fit_predictor(x: np.ndarray, y: np.ndarray, hidden: int = 16, steps: int = 300, rate: float = 0.02, seed: int = 0) -> dict[str, np.ndarray]:
     """A two-layer link predictor on concatenated features by Adam on the logistic loss."""
     rng = np.random.default_rng(seed)

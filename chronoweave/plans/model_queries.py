@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoweave.operators import attention, sampler
 from chronoweave.plans.adapters import NATION_EVENTS, USER_EDGES, nation_events, user_edges
 from chronoweave.plans.registry import REGISTRY
+from chronoweave.session import cut
 
 query = REGISTRY.query
 DIM, HOUR = 8, 3_600_000_000.0
@@ -56,7 +57,7 @@ def pairwise_pressure(spark: SparkSession, d: str) -> DataFrame:
 
 @query("link_scores")
 def link_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every interaction scored from two layers of attention strictly before it; features are hashed from the ids."""
+    """Every interaction scored from two layers of attention strictly before it, by a predictor fitted on the first 70 % of time; features are hashed from the ids."""
     e = user_edges(spark, d).withColumn("dst", F.col("dst") + 1_000_000)
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ts", "relation", "weight", "seq"))
     nodes = both.select(F.col("src").alias("node")).distinct()
@@ -64,5 +65,7 @@ def link_scores(spark: SparkSession, d: str) -> DataFrame:
     model = attention.Tgat.create(node_dim=DIM, time_dim=DIM)
     pairs = e.select("src", "dst", F.col("ts").alias("t"), "seq")
     asked = pairs.select(F.col("src").alias("node"), "t").unionByName(pairs.select(F.col("dst").alias("node"), "t"))
-    emb = attention.embed(both, asked, nodes.select("node", x.alias("x")), model, 5, HOUR, layers=2)
+    emb = cut(attention.embed(both, asked, nodes.select("node", x.alias("x")), model, 5, HOUR, layers=2))
+    until = pairs.select(F.percentile_approx("t", 0.7)).first()[0]
+    model = attention.fit_links(pairs.where(F.col("t") <= (until or 0)), emb, model)
     return attention.score(pairs, emb, model).select("seq", F.round("logit", 6).alias("logit"))

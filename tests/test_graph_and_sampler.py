@@ -157,3 +157,15 @@ def test_running_sums_of_hot_keys(spark, monkeypatch, hot):
     placed = {r.i: r.p for r in prefix.ranks(df, [], ["t", "i"], "p").collect()}
     assert [i for i, _ in sorted(placed.items(), key=lambda x: x[1])] == [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))] and sorted(placed.values()) == list(range(1, 121))
     assert prefix.running(df.limit(0), ["k"], ["t"], {"s": F.col("v")}).count() == 0 and prefix.ranks(df.limit(0), [], ["t"], "p").count() == 0
+
+
+def test_link_predictor_on_planted_communities(spark):
+    g = np.random.default_rng(3)
+    side = np.arange(80) % 2
+    emb = spark.createDataFrame([(n, 5, [float(v) for v in g.normal((2 * side[n] - 1) * np.ones(4), 1.0)]) for n in range(80)], "node bigint, t bigint, embedding array<double>")
+    rows = [(int(a), int(b), 5) for a, b in g.integers(0, 80, (900, 2)) if side[a] == side[b]]
+    held = [(int(a), int(b), 5, int(side[a] == side[b])) for a, b in g.integers(0, 80, (300, 2))]
+    model = attention.fit_links(spark.createDataFrame(rows, "src bigint, dst bigint, t bigint"), emb, attention.Tgat.create(node_dim=4, time_dim=4))
+    scored = attention.score(spark.createDataFrame(held, "src bigint, dst bigint, t bigint, label int"), emb, model)
+    assert metrics.roc_auc(scored, "logit", "label").first().auc > 0.65
+    assert attention.fit_links(spark.createDataFrame(rows[:0], "src bigint, dst bigint, t bigint"), emb, model) is model
