@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from chronoweave.session import cut
+from chronoweave.session import cut, stored
 
 #: Bytes of the input files for which there is a part; rows from which a key is hot.
 PART_BYTES, HOT_ROWS = 256 << 20, 5_000_000
@@ -90,16 +90,17 @@ def _summed(keys: Sequence[str], values: Sequence[str]):
     return run
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], kept: Sequence[str] | None = None) -> DataFrame:
     """df with, per name, the running sum of its whole, not negative value over the keys in the order.
 
+    Of a table without keys only the columns `kept` are written, if given, in compressed columns.
     Rows with a null key have no run and are left out; equal places in the order may be summed in any order.
     """
     known = df.where(" and ".join(f"`{k}` is not null" for k in keys)) if keys else df
     given = known.withColumns({n: F.coalesce(v.cast("bigint"), F.lit(0)) for n, v in values.items()})
     shown = [c for c in df.columns if c not in values]
     if not keys:
-        return _by_range(given, keys, order, values).select(*shown, *values)
+        return _by_range(given, keys, order, values, kept).select(*(shown if kept is None else kept), *values)
     hot = _hot(given, keys)
     if hot is None:
         return cut(_by_window(given, keys, order, values).select(*shown, *values))
@@ -113,14 +114,16 @@ def _by_window(given: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return given.withColumns({n: F.sum(n).over(w) for n in values})
 
 
-def _by_range(given: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+def _by_range(given: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], kept: Sequence[str] | None = None) -> DataFrame:
     sort = [*keys, *order]
     ranged = given.repartitionByRange(parts_of(given), *sort).sortWithinPartitions(*sort).withColumn("_part", F.spark_partition_id())
+    if kept is not None:
+        ranged = ranged.select(*keys, *kept, *values, "_part")
     schema = StructType([f for f in ranged.schema.fields if f.name not in values])
     for n in values:
         schema = schema.add(f"_w_{n}", LongType())
     schema = schema.add("_place", LongType())
-    done = cut(ranged.mapInArrow(_summed(keys, list(values)), schema))
+    done = (cut if kept is None else stored)(ranged.mapInArrow(_summed(keys, list(values)), schema))
     # the first and the last key of each part, and what each part has of them
     if keys:
         key = F.struct(*keys)

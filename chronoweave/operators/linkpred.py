@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import prefix
 from chronoweave.functions.portable import hash_int
-from chronoweave.operators.graph import undirected
+from chronoweave.operators import pair_cells
 
 
 #: Tasks over which the neighbours of one vertex are spread.
@@ -78,16 +78,6 @@ def popularity(pairs: DataFrame, train: DataFrame) -> DataFrame:
     return pairs.join(in_degree(train), "dst", "left").withColumn("popularity", F.coalesce("degree", F.lit(0))).drop("degree")
 
 
-def shared_neighbours(pairs: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """(src, dst, common, adamic_adar) of distinct pairs with a common neighbour; adjacency: distinct (a, b) in both directions."""
-    size = adjacency.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    weighted = adjacency.join(size.withColumnRenamed("a", "b"), "b")  # k: the neighbour's own neighbours
-    asked = pairs.select("src", "dst").distinct()
-    left = asked.join(weighted.select(F.col("a").alias("src"), F.col("b").alias("via"), "k"), "src")
-    both = left.join(adjacency.select(F.col("a").alias("dst"), F.col("b").alias("via")), ["dst", "via"])
-    return both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("common"), F.sum(1 / F.log(F.col("k") + 2)).alias("adamic_adar"))
-
-
 def common_neighbours(asked: DataFrame, adjacency: DataFrame) -> DataFrame:
     """(src, dst, common): the vertices that share a neighbour with each asked vertex (src); adjacency: distinct (a, b) in both directions.
 
@@ -99,10 +89,15 @@ def common_neighbours(asked: DataFrame, adjacency: DataFrame) -> DataFrame:
     return left.join(right, ["via", "salt"]).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("common"))
 
 
-def neighbourhood_scores(pairs: DataFrame, train: DataFrame) -> DataFrame:
-    """pairs with common and adamic_adar over the undirected training graph."""
-    scores = shared_neighbours(pairs, undirected(train))
-    return pairs.join(scores, ["src", "dst"], "left").fillna({"common": 0, "adamic_adar": 0.0})
+def neighbourhood_scores(groups: DataFrame, order: list[str], edges: str, count: int, train: float = 0.70, valid: float = 0.85, seed: int = 0) -> DataFrame:
+    """(qid, slot, label, common, adamic_adar, popularity) of every test link of the chronological split (slot -1) and `count` negatives of each.
+
+    groups: rows whose edges, a list of (src, dst), are the links in order; only places and ends are written.
+    """
+    at = prefix.running(groups, [], order, {"_upto": F.size(edges)}, kept=[edges])
+    n = at.select(F.max("_upto")).first()[0] or 0
+    links = at.select((F.col("_upto") - F.size(edges)).alias("_first"), F.posexplode(edges).alias("_i", "_e")).select((F.col("_first") + F.col("_i")).alias("pos"), "_e.src", "_e.dst")
+    return pair_cells.scores(links, int(n * train), int(n * valid), count, seed)
 
 
 def directed_adamic_adar(pairs: DataFrame, train: DataFrame) -> DataFrame:

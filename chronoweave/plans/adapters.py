@@ -36,6 +36,17 @@ def trade_edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def trade_orders(spark: SparkSession, d: str) -> DataFrame:
+    """(ts, o, edges): the trade edges of each order and time, as (src, dst) in order of seq; by (ts, o) they are all in order of (ts, seq)."""
+    o, l = read_table(spark, d, "orders"), read_table(spark, d, "lineitem")
+    e = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(
+        (F.unix_date(F.to_date("o_orderdate")).cast("bigint") * 86_400).alias("ts"), F.col("l_orderkey").alias("o"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "o_custkey").alias("e"),
+    )
+    ends = F.transform(F.array_sort(F.collect_list("e")), lambda x: F.struct(x["o_custkey"].alias("src"), x["l_suppkey"].alias("dst")))
+    return e.groupBy("ts", "o").agg(ends.alias("edges"))
+
+
 TRADE_EDGES = """trade_edges as (
   select o_custkey as src, l_suppkey as dst, (o_orderdate::date - date '1970-01-01')::bigint * 86400 as ts, (ascii(l_returnflag) - 64)::int as relation,
          l_extendedprice * (1 - l_discount) as weight, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators import linkpred, metrics
 from chronoweave.operators.graph import undirected
-from chronoweave.plans.adapters import TRADE_EDGES, trade_edges
+from chronoweave.plans.adapters import TRADE_EDGES, trade_edges, trade_orders
 from chronoweave.plans.registry import REGISTRY
 from chronoweave.session import cut
 
@@ -98,10 +98,14 @@ _AA = _ASK + _ADJ + """, cn as (
   select x.src, x.dst, count(*) as common, sum(1 / ln(k.k + 2)) as aa from (select distinct src, dst from pairs) x join adj l on l.a = x.src join adj r on r.a = x.dst and r.b = l.b join k on k.a = l.b group by 1, 2)"""
 
 
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    """Every test link and its negatives with common, adamic_adar and popularity."""
+    return linkpred.neighbourhood_scores(trade_orders(spark, d), ["ts", "o"], "edges", NEGATIVES)
+
+
 @query("adamic_adar", _AA + " select qid, slot::int as slot, coalesce(common, 0) as common, round(coalesce(aa, 0), 6) as adamic_adar from pairs left join cn using (src, dst)")
 def adamic_adar(spark: SparkSession, d: str) -> DataFrame:
-    train, pairs, _ = _asked(spark, d)
-    return linkpred.neighbourhood_scores(pairs, train).select("qid", "slot", "common", F.round("adamic_adar", 6).alias("adamic_adar"))
+    return _near(spark, d).select("qid", "slot", "common", F.round("adamic_adar", 6).alias("adamic_adar"))
 
 
 #: Searches ask from the vertices whose id is divisible by this, against all.
@@ -211,8 +215,7 @@ def batch_auc(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cold_warm_split", _AA + " select coalesce(common, 0) > 0 as warm, label, count(*) as n from pairs left join cn using (src, dst) group by all")
 def cold_warm_split(spark: SparkSession, d: str) -> DataFrame:
-    train, pairs, _ = _asked(spark, d)
-    return linkpred.neighbourhood_scores(pairs, train).groupBy((F.col("common") > 0).alias("warm"), "label").agg(F.count(F.lit(1)).alias("n"))
+    return _near(spark, d).groupBy((F.col("common") > 0).alias("warm"), "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -223,8 +226,7 @@ r as (select lam, label, rank() over (partition by lam order by score) + (count(
 select lam, round((sum(rk) filter (where label = 1) - sum(label) * (sum(label) + 1) / 2.0::double) / (sum(label) * sum(1 - label)), 4) as auc from r group by 1""",
 )
 def ensemble_sweep(spark: SparkSession, d: str) -> DataFrame:
-    train, pairs, _ = _asked(spark, d)
-    s = linkpred.popularity(linkpred.neighbourhood_scores(pairs, train), train).withColumn("logit", (F.col("popularity") - 50) / 50.0)
+    s = _near(spark, d).withColumn("logit", (F.col("popularity") - 50) / 50.0)
     return linkpred.ensemble_sweep(s, "logit", "adamic_adar", "label", [0.0, 0.1, 1.0]).withColumn("auc", F.round("auc", 4))
 
 
