@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions import prefix
 from chronoweave.functions.portable import hash_int
 from chronoweave.operators import pair_cells
+from chronoweave.session import stored
 
 
 #: Tasks over which the neighbours of one vertex are spread.
@@ -131,12 +132,12 @@ def pair_history(pairs: DataFrame, train: DataFrame, now: Column, unit: float =
 
 
 def ensemble_sweep(scored: DataFrame, logit: str, extra: str, label: str, lambdas: list[float]) -> DataFrame:
-    """(lam, auc): the auc of sigmoid(logit) + lam * extra for each lam."""
-    from chronoweave.operators.metrics import roc_auc
+    """(lam, auc): the auc of sigmoid(logit) + lam * extra for each lam; scored is read once."""
+    from chronoweave.operators import metrics
 
-    rows = scored.withColumn("lam", F.explode(F.array(*[F.lit(float(x)) for x in lambdas])))
+    rows = stored(metrics.classes(scored, [logit, extra], label)).withColumn("lam", F.explode(F.array(*[F.lit(float(x)) for x in lambdas])))
     mixed = rows.withColumn("mixed", F.round(1 / (1 + F.exp(-F.col(logit))) + F.col("lam") * F.col(extra), 9))
-    return roc_auc(mixed, "mixed", label, ["lam"])
+    return metrics.area(mixed.groupBy("lam", "mixed").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "mixed", ["lam"])
 
 
 def permuted_times(edges: DataFrame, seed: int = 0) -> DataFrame:

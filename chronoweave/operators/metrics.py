@@ -17,13 +17,22 @@ from chronoweave.functions import prefix
 
 def roc_auc(scored: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, auc): ties count half; null where one class is missing."""
-    by = [*keys]
+    return area(classes(scored, [*keys, score], label), score, keys)
+
+
+def classes(scored: DataFrame, by: Sequence[str], label: str) -> DataFrame:
+    """(by, p, n): the positives and negatives of each group."""
     good = F.col(label) > 0
-    per = scored.groupBy(*by, score).agg(F.sum(F.when(good, 1).otherwise(0)).alias("p"), F.sum(F.when(good, 0).otherwise(1)).alias("n"))
+    return scored.groupBy(*by).agg(F.sum(F.when(good, 1).otherwise(0)).alias("p"), F.sum(F.when(good, 0).otherwise(1)).alias("n"))
+
+
+def area(per: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, auc) from the p positives and n negatives of each score."""
+    by = [*keys]
     # the negatives at and below each score, in parts by range
     upto = prefix.running(per.withColumn("_n", F.col("n")), by, [score], {"_n": F.col("n")})
-    area = F.sum(F.col("p") * (F.col("_n") - F.col("n") / 2))
-    return upto.groupBy(*by).agg(F.try_divide(area, F.sum("p").cast("double") * F.sum("n")).alias("auc"))
+    beaten = F.sum(F.col("p") * (F.col("_n") - F.col("n") / 2))
+    return upto.groupBy(*by).agg(F.try_divide(beaten, F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 
 def average_precision(scored: DataFrame, score: str, label: str, tie: str, keys: Sequence[str] = ()) -> DataFrame:
