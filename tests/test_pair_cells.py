@@ -22,7 +22,7 @@ def shuffled(spark):
     return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
 
 
-@pytest.mark.parametrize("name, times", [("adamic_adar", 4), ("ensemble_sweep", 8)])
+@pytest.mark.parametrize("name, times", [("adamic_adar", 4), ("cold_warm_split", 4), ("ensemble_sweep", 8)])
 def test_shuffles_a_few_times_the_input(spark, name, times):
     size = sum(os.path.getsize(f"{MEDIUM}/{t}.parquet") for t in ("orders", "lineitem"))
     before = shuffled(spark)
