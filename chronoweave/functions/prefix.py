@@ -39,6 +39,11 @@ def _leaves(df: DataFrame) -> tuple[int, int]:
     return size, written
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of the files and local rows that df reads."""
+    return _leaves(df)[0]
+
+
 def parts_of(df: DataFrame) -> int:
     """Parts by the size of what df reads, at least the session's number of shuffle partitions."""
     size, written = _leaves(df)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions import prefix
 from chronoweave.functions.portable import hash_int
 from chronoweave.operators import pair_cells
-from chronoweave.session import stored
+from chronoweave.session import discard, stored
 
 
 #: Tasks over which the neighbours of one vertex are spread.
@@ -90,15 +92,19 @@ def common_neighbours(asked: DataFrame, adjacency: DataFrame) -> DataFrame:
     return left.join(right, ["via", "salt"]).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("common"))
 
 
-def neighbourhood_scores(groups: DataFrame, order: list[str], edges: str, count: int, train: float = 0.70, valid: float = 0.85, seed: int = 0) -> DataFrame:
-    """(qid, slot, label, common, adamic_adar, popularity) of every test link of the chronological split (slot -1) and `count` negatives of each.
+def neighbourhood_shares(groups: Sequence[DataFrame], order: list[str], edges: str, count: int, most: int, train: float = 0.70, valid: float = 0.85, seed: int = 0) -> list[DataFrame]:
+    """(qid, slot, label, common, adamic_adar, popularity) of every test link of the chronological split (slot -1) and `count` negatives of each, in at most `most` shares by source.
 
-    groups: rows whose edges, a list of (src, dst), are the links in order; only places and ends are written.
+    groups: rows whose edges, a list of (src, dst), are the links in order, in shares that are made one after
+    another; only places and ends are kept.
     """
-    at = prefix.running(groups, [], order, {"_upto": F.size(edges)}, kept=[edges])
+    made = [stored(g) for g in groups]
+    at = prefix.running(reduce(DataFrame.union, made), [], order, {"_upto": F.size(edges)}, kept=[edges])
+    for m in made:
+        discard(m)
     n = at.select(F.max("_upto")).first()[0] or 0
     links = at.select((F.col("_upto") - F.size(edges)).alias("_first"), F.posexplode(edges).alias("_i", "_e")).select((F.col("_first") + F.col("_i")).alias("pos"), "_e.src", "_e.dst")
-    return pair_cells.scores(links, int(n * train), int(n * valid), count, seed)
+    return pair_cells.shares(links, int(n * train), int(n * valid), count, seed, most)
 
 
 def directed_adamic_adar(pairs: DataFrame, train: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from chronoweave.functions.portable import hash_int
 from chronoweave.session import stored
 
-#: Pairs and neighbours in a cell; places of training edges in a block of draws; rows packed at once; marks summed at once.
-CELL_ROWS, DRAW_ROWS, PACK_ROWS, SUM_ROWS = 6_000_000, 1_000_000, 500_000, 4_000_000
+#: Pairs and neighbours in a cell; those from which there is another share; places of training edges in a block of draws; rows packed at once; marks summed at once.
+CELL_ROWS, SHARE_ROWS, DRAW_ROWS, PACK_ROWS, SUM_ROWS = 6_000_000, 25_000_000, 1_000_000, 500_000, 4_000_000
 #: Stands for a missing id, which matches nothing.
 NONE = np.iinfo(np.int64).min
 #: What a blob holds.
@@ -61,7 +61,15 @@ def steps(x: np.ndarray) -> np.ndarray:
 
 
 def block(ids: np.ndarray, blocks: int) -> np.ndarray:
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+    """Spark's pmod(xxhash64(id), blocks)."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = turned(ids.astype(np.uint64) * p2, 31) * p1
+    h ^= np.uint64(42 + int(p5) + 8)
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64) % blocks
 
 
 def _joined(parts: Iterable[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
@@ -99,19 +107,19 @@ def _blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         yield from zip(b.column(b.schema.get_field_index("kind")).to_pylist(), b.column(b.schema.get_field_index("blob")).to_pylist())
 
 
-def _pairs(parts: Iterable[list[np.ndarray]], blocks: int) -> Iterator[tuple[int, int, bytes]]:
-    """Blobs of (code, src, dst) by cell."""
+def _pairs(parts: Iterable[list[np.ndarray]], blocks: int, shares: int) -> Iterator[tuple[int, int, bytes]]:
+    """Blobs of (code, src, dst) by cell of their share."""
     for code, src, dst in parts:
-        cell = block(src, blocks) * blocks + block(dst, blocks)
+        cell = block(src, blocks) // shares * blocks + block(dst, blocks)
         for c, rows in _split(cell, np.lexsort((code, cell))):
             yield c, PAIRS, packed(steps(code[rows]), src[rows], dst[rows])
 
 
-def _asking(blocks: int, slots: int) -> Callable:
+def _asking(blocks: int, shares: int, slots: int) -> Callable:
     """Packs the asking links themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(_pairs(([pos * slots, src, dst] for pos, src, dst in _columns(batches, ["pos", "src", "dst"])), blocks))
+        yield from _rows(_pairs(([pos * slots, src, dst] for pos, src, dst in _columns(batches, ["pos", "src", "dst"])), blocks, shares))
 
     return run
 
@@ -132,7 +140,7 @@ def _by_place(width: int, kind: int, names: list[str]) -> Callable:
     return run
 
 
-def _drawn(width: int, blocks: int) -> Callable:
+def _drawn(width: int, blocks: int, shares: int) -> Callable:
     """In a block of places: the draws get the end of the edge at their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +152,7 @@ def _drawn(width: int, blocks: int) -> Callable:
             else:
                 draws.append(blob)
         parts = ([np.cumsum(code), src, ends[at]] for code, at, src in map(unpacked, draws))
-        yield from _rows(_pairs(_joined(parts), blocks))
+        yield from _rows(_pairs(_joined(parts), blocks, shares))
 
     return run
 
@@ -291,17 +299,23 @@ def _scored(slots: int) -> Callable:
 
 
 def scores(links: DataFrame, train: int, asks: int, negatives: int, seed: int = 0) -> DataFrame:
-    """(qid, slot, label, common, adamic_adar, popularity) of the links from place `asks` on (slot -1, label 1) and of `negatives` drawn targets of each.
+    """All shares in one."""
+    return shares(links, train, asks, negatives, seed, 1)[0]
+
+
+def shares(links: DataFrame, train: int, asks: int, negatives: int, seed: int, most: int) -> list[DataFrame]:
+    """(qid, slot, label, common, adamic_adar, popularity) of the links from place `asks` on (slot -1, label 1) and of `negatives` drawn targets of each, in at most `most` shares by blocks of sources.
 
     links: (pos, src, dst) without gaps, those before place `train` are the training graph; it is read several
     times. Draws are those of linkpred.negatives, common and adamic_adar are over the undirected training graph,
-    popularity is the training in-degree.
+    popularity is the training in-degree. Nothing but lists of neighbours and asking links is written for all
+    shares, so that those who use up one after another hold a share's pairs and copies of lists on disk.
     """
     spark = links.sparkSession
     slots = negatives + 1
-    known, asking = links.where(F.col("pos") < train), links.where(F.col("pos") >= asks)
-    count = asking.count()
-    blocks = max(3, math.ceil(math.sqrt((count * slots + 3 * train) / CELL_ROWS)))
+    known, asking = links.where(F.col("pos") < train), stored(links.where(F.col("pos") >= asks))
+    n = asking.count() * slots + 3 * train
+    blocks = max(3, math.ceil(math.sqrt(n / CELL_ROWS)))
     # lists of neighbours, once for each block
     sides = known.select("dst").union(asking.select("dst")).distinct().select(F.col("dst").alias("a"), F.lit(1).alias("g"))
     sides = sides.union(asking.select("src").distinct().select("src", F.lit(0))).select("a", "g", F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("i"))
@@ -309,16 +323,26 @@ def scores(links: DataFrame, train: int, asks: int, negatives: int, seed: int =
     rows = known.select(both.alias("e")).select("e.a", F.lit(2).alias("g"), "e.b", "e.i").union(sides).where("a is not null")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-train // CELL_ROWS))
     lists = stored(rows.repartition(tasks, "a").sortWithinPartitions("a", "g", "b").mapInArrow(_lists(blocks), BLOBS))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    cells = F.when(F.col("kind") == SOURCES, F.transform(every, lambda x: F.col("part") * blocks + x)).when(F.col("kind") == TARGETS, F.transform(every, lambda x: x * blocks + F.col("part")))
-    found = lists.select(F.explode(F.coalesce(cells, F.sequence(F.lit(0), F.lit(blocks * blocks - 1)))).alias("part"), "kind", "blob")
+    count = min(most, blocks, max(1, math.ceil(n / SHARE_ROWS)))
+    return [_share(i, count, blocks, lists, known, asking, train, slots, seed) for i in range(count)]
+
+
+def _share(share: int, shares: int, blocks: int, lists: DataFrame, known: DataFrame, asking: DataFrame, train: int, slots: int, seed: int) -> DataFrame:
+    """The scores of the sources in every shares-th block from `share` on; of a share's cells, the first are those of its first block."""
+    own = len(range(share, blocks, shares))
+    of_source = F.pmod(F.xxhash64(F.coalesce("src", F.lit(NONE))), F.lit(blocks))
+    asking = asking.where(F.pmod(of_source, F.lit(shares)) == share) if shares > 1 else asking
+    row = F.floor(F.col("part") / shares).cast("int") * blocks
+    cells = F.when(F.col("kind") == SOURCES, F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: row + x)).when(F.col("kind") == TARGETS, F.transform(F.sequence(F.lit(0), F.lit(own - 1)), lambda x: x * blocks + F.col("part")))
+    here = lists.where((F.col("kind") != SOURCES) | (F.col("part") % shares == share))
+    found = here.select(F.explode(F.coalesce(cells, F.sequence(F.lit(0), F.lit(own * blocks - 1)))).alias("part"), "kind", "blob")
     # pairs
-    found = found.union(asking.select("pos", "src", "dst").mapInArrow(_asking(blocks, slots), BLOBS))
+    found = found.union(asking.select("pos", "src", "dst").mapInArrow(_asking(blocks, shares, slots), BLOBS))
     if train:
         width = min(train, DRAW_ROWS)
-        slot = asking.select("pos", "src", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("slot"))
+        slot = asking.select("pos", "src", F.explode(F.sequence(F.lit(0), F.lit(slots - 2))).alias("slot"))
         at = F.pmod(hash_int(F.lit(seed), F.col("pos"), F.col("slot")), F.lit(train))
         draws = slot.select(at.alias("at"), (F.col("pos") * slots + F.col("slot") + 1).alias("code"), "src").mapInArrow(_by_place(width, DRAWS, ["at", "code", "src"]), BLOBS)
         ends = known.select("pos", "dst").mapInArrow(_by_place(width, ENDS, ["pos", "dst"]), BLOBS)
-        found = found.union(ends.union(draws).repartitionById(-(-train // width), F.col("part")).mapInArrow(_drawn(width, blocks), BLOBS))
-    return found.repartitionById(blocks * blocks, F.col("part")).mapInArrow(_scored(slots), SCORES)
+        found = found.union(ends.union(draws).repartitionById(-(-train // width), F.col("part")).mapInArrow(_drawn(width, blocks, shares), BLOBS))
+    return found.repartitionById(own * blocks, F.col("part")).mapInArrow(_scored(slots), SCORES)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.functions import prefix
 from chronoweave.session import read_table
 
 #: Codes of the event types and of an order line's state.
 EVENT_TYPES = ("click", "view", "purchase", "signup", "logout")
 
+#: Shares in which orders and lines of more than a task's share meet.
+ORDER_SHARES = 2
+
 
 def user_edges(spark: SparkSession, d: str) -> DataFrame:
     """events as edges from users to keys; times are unique microseconds."""
@@ -36,9 +40,15 @@ def trade_edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def trade_orders(spark: SparkSession, d: str) -> DataFrame:
-    """(ts, o, edges): the trade edges of each order and time, as (src, dst) in order of seq; by (ts, o) they are all in order of (ts, seq)."""
+def trade_orders(spark: SparkSession, d: str) -> list[DataFrame]:
+    """(ts, o, edges): the trade edges of each order and time, as (src, dst) in order of seq; by (ts, o) they are all in order of (ts, seq). In shares by the order's key, so that a join shuffles only its share."""
     o, l = read_table(spark, d, "orders"), read_table(spark, d, "lineitem")
+    shares = ORDER_SHARES if prefix.size_of(l) > prefix.PART_BYTES else 1
+    part = lambda t, key, i: t.where(F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(shares)) == i) if shares > 1 else t
+    return [_orders(part(o, "o_orderkey", i), part(l, "l_orderkey", i)) for i in range(shares)]
+
+
+def _orders(o: DataFrame, l: DataFrame) -> DataFrame:
     e = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(
         (F.unix_date(F.to_date("o_orderdate")).cast("bigint") * 86_400).alias("ts"), F.col("l_orderkey").alias("o"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "o_custkey").alias("e"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from chronoweave.operators import linkpred, metrics
 from chronoweave.operators.graph import undirected
 from chronoweave.plans.adapters import TRADE_EDGES, trade_edges, trade_orders
 from chronoweave.plans.registry import REGISTRY
-from chronoweave.session import cut
+from chronoweave.session import cut, stored
 
 query = REGISTRY.query
 NEGATIVES = 10
+#: Most shares of pairs that are counted one after another.
+COUNT_SHARES = 3
 
 _SPLIT = f"""
 with {TRADE_EDGES}, p as (select *, row_number() over (order by ts, seq) - 1 as pos, count(*) over () as n from trade_edges),
@@ -98,9 +102,13 @@ _AA = _ASK + _ADJ + """, cn as (
   select x.src, x.dst, count(*) as common, sum(1 / ln(k.k + 2)) as aa from (select distinct src, dst from pairs) x join adj l on l.a = x.src join adj r on r.a = x.dst and r.b = l.b join k on k.a = l.b group by 1, 2)"""
 
 
+def _near_shares(spark: SparkSession, d: str, most: int) -> list[DataFrame]:
+    """Every test link and its negatives with common, adamic_adar and popularity, in at most so many shares."""
+    return linkpred.neighbourhood_shares(trade_orders(spark, d), ["ts", "o"], "edges", NEGATIVES, most)
+
+
 def _near(spark: SparkSession, d: str) -> DataFrame:
-    """Every test link and its negatives with common, adamic_adar and popularity."""
-    return linkpred.neighbourhood_scores(trade_orders(spark, d), ["ts", "o"], "edges", NEGATIVES)
+    return _near_shares(spark, d, 1)[0]
 
 
 @query("adamic_adar", _AA + " select qid, slot::int as slot, coalesce(common, 0) as common, round(coalesce(aa, 0), 6) as adamic_adar from pairs left join cn using (src, dst)")
@@ -215,7 +223,9 @@ def batch_auc(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cold_warm_split", _AA + " select coalesce(common, 0) > 0 as warm, label, count(*) as n from pairs left join cn using (src, dst) group by all")
 def cold_warm_split(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d).groupBy((F.col("common") > 0).alias("warm"), "label").agg(F.count(F.lit(1)).alias("n"))
+    """The shares are counted one after another, each without the shuffle files of the one before."""
+    counts = [stored(s.groupBy((F.col("common") > 0).alias("warm"), "label").agg(F.count(F.lit(1)).alias("n"))) for s in _near_shares(spark, d, COUNT_SHARES)]
+    return reduce(DataFrame.union, counts).groupBy("warm", "label").agg(F.sum("n").alias("n"))
 
 
 @query(

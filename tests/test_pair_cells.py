@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from chronoweave.functions.portable import hash_int
 from chronoweave.operators import pair_cells
-from chronoweave.plans import load
+from chronoweave.plans import adapters, load
 
 QUERIES = load().queries
 MEDIUM = "/root/testdata/sf0.01"
@@ -93,3 +94,53 @@ def test_a_vertex_in_pieces_and_sums_in_parts(monkeypatch):
         assert t["common"].to_pylist() == want
         assert t["popularity"].to_pylist() == [sum(y == b for _, y in pairs) for _ in range(30) for b in range(50)]
     assert got[0]["adamic_adar"].to_pylist() == pytest.approx(got[1]["adamic_adar"].to_pylist())
+
+
+def test_blocks_are_those_of_spark(spark):
+    ids = [0, 1, -1, 5, 1 << 62, -(1 << 63), (1 << 63) - 1, *range(1000, 1200)]
+    rows = spark.createDataFrame([(x,) for x in ids], "x bigint").select("x", F.pmod(F.xxhash64("x"), F.lit(7)).alias("h")).collect()
+    assert pair_cells.block(np.array([r.x for r in rows]), 7).tolist() == [r.h for r in rows]
+
+
+@pytest.mark.parametrize("train", [700, 0])
+def test_shares_are_all_of_the_scores(spark, monkeypatch, train):
+    monkeypatch.setattr(pair_cells, "CELL_ROWS", 40)
+    monkeypatch.setattr(pair_cells, "SHARE_ROWS", 100)
+    r = np.random.default_rng(3)
+    links = [(None if a == 9 else int(a) - 5, None if b == 9 else int(b)) for a, b in r.integers(0, 40, (1000, 2))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(links)], "pos bigint, src bigint, dst bigint")
+    shares = pair_cells.shares(df, train, 850, 4, 0, 3)
+    assert len(shares) == 3
+    got = [x for s in shares for x in s.collect()]
+    assert all(s.select("qid").distinct().count() < 150 for s in shares)
+    assert sorted(got, key=lambda x: (x.qid, x.slot)) == pair_cells.scores(df, train, 850, 4).orderBy("qid", "slot").collect()
+
+
+def test_orders_meet_lines_in_shares(spark, monkeypatch):
+    whole = adapters.trade_orders(spark, MEDIUM)
+    monkeypatch.setattr(adapters.prefix, "PART_BYTES", 1000)
+    shares = adapters.trade_orders(spark, MEDIUM)
+    assert (len(whole), len(shares)) == (1, adapters.ORDER_SHARES)
+    assert sorted(x for s in shares for x in s.collect()) == sorted(whole[0].collect())
+
+
+def test_cold_warm_split_holds_a_share_of_its_shuffles(spark, monkeypatch):
+    """What is shuffled between two writes, after which the shuffle files are removed."""
+    monkeypatch.setattr(pair_cells, "SHARE_ROWS", 50_000, raising=False)
+    held, write = [], DataFrameWriter.parquet
+
+    def watched(self, *a, **k):
+        before = shuffled(spark)
+        write(self, *a, **k)
+        held.append(shuffled(spark) - before)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    before = shuffled(spark)
+    rows = QUERIES["cold_warm_split"](spark, MEDIUM)
+    held.append(-sum(held))
+    got = {tuple(x) for x in rows.collect()}
+    held[-1] += shuffled(spark) - before
+    size = sum(os.path.getsize(f"{MEDIUM}/{t}.parquet") for t in ("orders", "lineitem"))
+    assert sum(n for _, _, n in got) == 11 * 9_000
+    assert max(held) < 1.3 * size
+    assert max(held[-4:]) < 0.3 * size  # three shares and the sum of their counts
